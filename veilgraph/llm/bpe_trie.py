@@ -168,7 +168,7 @@ class Rendered(dict):
         """Pre-tokens as the library cuts them; the special tokens' strings stay whole."""
         if not text:
             return []
-        if not wordbpe.ODD.search(text):
+        if not wordbpe.odd(text):
             return wordbpe.PIECES.findall(text.lower())
         out = []
         for k, run in enumerate(self.trie.split_added.split(text) if self.trie.split_added else [text]):

@@ -11,13 +11,19 @@ import re
 
 import numpy as np
 
-#: What the quick way does not cover.
-ODD = re.compile(r"[^\t-\r -ɏ]|<\|")
+#: What the quick way does not cover: these characters, and the strings that start the special tokens.
+ODD, SPECIAL = re.compile(r"[^\t-\r -ɏ]"), "<|"
 #: The tokenizer's split pattern, written for characters below U+0250 with this module's idea of letters and numbers.
 PUNCT = r"(?:[^\s\w\xb2\xb3\xb9\xbc-\xbe]|_)+"
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|" + PUNCT)
-#: Words a worker remembers; past it the memory starts anew, so it stays bounded.
-MEMORY = 300_000
+#: Words of each of two generations that a worker remembers: a full one becomes the old one, so memory stays bounded and frequent words stay in.
+MEMORY = 250_000
+#: Punctuation that often ends a word; such words are looked up without it.
+ENDS = ".,;:!?"
+
+
+def odd(text: str) -> bool:
+    return SPECIAL in text or ODD.search(text) is not None
 
 
 def byte_chars() -> dict[int, str]:
@@ -38,23 +44,26 @@ class WordIds(dict):
         self.whole.no_padding()
         self.model = self.whole.model
         self.chars = byte_chars()
-        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ends = {c: self._pack([c]) for c in ENDS}
+
+    def _pack(self, pieces: list[str]) -> bytes:
+        ids = []
+        for p in pieces:
+            ids += [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        if len(self.pieces) >= MEMORY:
-            self.pieces.clear()
-        out = []
-        for p in PIECES.findall(word):
-            if (ids := self.pieces.get(p)) is None:
-                mapped = p.encode().decode("latin-1").translate(self.chars)
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                if len(p) < 64:
-                    self.pieces[p] = ids
-            out.append(ids)
-        got = b"".join(out)
+        end = self.ends.get(word[-1])
+        if end is not None and (stem := word[:-1]).isalpha():
+            return self[stem] + end
+        got = self.old.get(word)
+        if got is None:
+            got = self._pack(PIECES.findall(word))
         if len(word) < 64:
+            if len(self) >= MEMORY:
+                self.old = dict(self)
+                self.clear()
             self[word] = got
         return got
 
@@ -62,7 +71,7 @@ class WordIds(dict):
         """All ids of a whole text (null: none), as the library's encode(text, add_special_tokens=False)."""
         if not text:
             return b""
-        if ODD.search(text):
+        if odd(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 
