@@ -8,11 +8,14 @@ hold both ways against each other over every code point of the range.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from functools import partial
 
 import numpy as np
 
 #: What the quick way does not cover: these characters, and the strings that start the special tokens.
-ODD, SPECIAL = re.compile(r"[^\t-\r -ɏ]"), "<|"
+ODD, SPECIAL = re.compile(r"[^\t-\r\x20-\x7e\x80-ɏ]"), "<|"
 #: The tokenizer's split pattern, written for characters below U+0250 with this module's idea of letters and numbers.
 PUNCT = r"(?:[^\s\w\xb2\xb3\xb9\xbc-\xbe]|_)+"
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|" + PUNCT)
@@ -20,6 +23,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d
 MEMORY = 250_000
 #: Punctuation that often ends a word; such words are looked up without it.
 ENDS = ".,;:!?"
+WORD = partial(array, "I" if sys.byteorder == "little" and array("I").itemsize == 4 else "unsupported machine")
 
 
 def odd(text: str) -> bool:
@@ -51,15 +55,18 @@ class WordIds(dict):
         ids = []
         for p in pieces:
             ids += [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
-        return np.array(ids, dtype="<u4").tobytes()
+        return WORD(ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         end = self.ends.get(word[-1])
         if end is not None and (stem := word[:-1]).isalpha():
-            return self[stem] + end
-        got = self.old.get(word)
-        if got is None:
-            got = self._pack(PIECES.findall(word))
+            got = self[stem] + end
+            if len(word) > 6:  # short ones come often enough to be kept as they are
+                return got
+        else:
+            got = self.old.get(word)
+            if got is None:
+                got = self._pack([word] if word.isalpha() else PIECES.findall(word))
         if len(word) < 64:
             if len(self) >= MEMORY:
                 self.old = dict(self)
