@@ -24,7 +24,7 @@ from . import wordbpe
 from .common import LONG, STRING, schema, table
 
 #: Bounds of a worker's memory: words kept, border decisions kept, characters in one trie.
-WORDS, BORDERS, TRIE_CHARS = 400_000, 400_000, 400_000
+WORDS, BORDERS, TRIE_CHARS = 700_000, 400_000, 400_000
 FOREVER = 1 << 60
 
 
