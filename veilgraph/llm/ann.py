@@ -62,11 +62,16 @@ class Index:
         residual = x - self.centers[own]
         return own, np.stack([nearest(residual[:, c], b).astype(np.uint8) for c, b in zip(self.cuts, self.books)], axis=1)
 
+    def offsets(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For a code in its list: |residual|^2 + 2 centroid . residual, the part of a squared distance that no query changes."""
+        residual = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], axis=1)
+        return (residual * (residual + 2 * self.centers[own])).sum(1)
+
     def tables(self, x: np.ndarray) -> np.ndarray:
-        """Squared distances of each part of x to each codeword: parts by 256."""
-        out = np.zeros((len(self.books), 256))
+        """Asymmetric distance tables: -2 x . codeword for each query, part and codeword."""
+        out = np.zeros((len(x), len(self.books), 256))
         for k, (c, b) in enumerate(zip(self.cuts, self.books)):
-            out[k, : len(b)] = ((b - x[c]) ** 2).sum(1)
+            out[:, k, : len(b)] = -2 * x[:, c] @ b.T
         return out
 
 
@@ -106,29 +111,23 @@ def _route(shared):
 def _scan(shared, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        parts = np.arange(len(index.cuts))
+        shift = 256 * np.arange(len(index.cuts))
         for batch in batches:
             for row in range(len(batch)):
                 codes, queries = (batch.column(c)[row].values for c in ("codes", "queries"))
-                nodes, lists = codes.field("node").to_numpy(), codes.field("list").to_numpy()
-                order = np.lexsort((nodes, lists))
-                nodes, lists = nodes[order], lists[order]
-                code = np.frombuffer(b"".join(codes.field("code").to_pylist()), np.uint8).reshape(len(nodes), -1)[order]
-                starts, names = np.r_[np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]), len(lists)], None
-                names = lists[starts[:-1]]
+                nodes, own = codes.field("node").to_numpy(), codes.field("list").to_numpy()
+                code = np.frombuffer(b"".join(codes.field("code").to_pylist()), np.uint8).reshape(len(nodes), -1)
+                fixed, at = index.offsets(own, code), code + shift
                 x = matrix(queries.field("embedding"))
+                tables = index.tables(x).reshape(len(x), -1)
+                lead = index.to_centers(x)  # |x - centroid|^2 without |x|^2, which changes no order
                 for k, (q, visits) in enumerate(zip(queries.field("query_id").to_pylist(), queries.field("lists").to_pylist())):
-                    got, dist = [], []
-                    for at in np.searchsorted(names, np.intersect1d(names, visits)):
-                        a, b = starts[at], starts[at + 1]
-                        dist.append(index.tables(x[k] - index.centers[names[at]])[parts, code[a:b]].sum(1))
-                        got.append(nodes[a:b])
-                    if got:
-                        got, dist = np.concatenate(got), np.concatenate(dist)
-                        if len(got) > keep:
-                            best = np.lexsort((got, dist))[:keep]
-                            got, dist = got[best], dist[best]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), q, np.int64)), pa.array(got), pa.array(dist)], names=["query_id", "node", "guess"])
+                    mine = np.flatnonzero(np.isin(own, visits))
+                    got, guess = nodes[mine], lead[k, own[mine]] + fixed[mine] + tables[k][at[mine]].sum(1)
+                    if len(got) > keep:
+                        best = np.lexsort((got, guess))[:keep]
+                        got, guess = got[best], guess[best]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), q, np.int64)), pa.array(got), pa.array(guess)], names=["query_id", "node", "guess"])
 
     return run
 
@@ -158,7 +157,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     counts = routed.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("query_id", F.lit(4)), F.col("parts")).cast("int")
     grouped = routed.join(counts, "group").groupBy("group", part.alias("part")).agg(F.collect_list(F.struct("query_id", "embedding", "lists")).alias("queries"))
-    guesses = blocks.join(grouped, "group").select("codes", "queries").mapInArrow(_scan(index, KEEP), schema(query_id=LONG, node=LONG, guess=DOUBLE))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes: the rows are small and costly
+    guesses = blocks.join(grouped, "group").repartition(width, "group", "block", "part").select("codes", "queries").mapInArrow(_scan(index, KEEP), schema(query_id=LONG, node=LONG, guess=DOUBLE))
     best = guesses.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("guess", "node"))).where(f"k <= {KEEP}").select("query_id", "node")
 
     exact = best.join(asked, "query_id").join(classes.select("node", F.col("embedding").alias("other")), "node")
