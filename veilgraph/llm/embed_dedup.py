@@ -145,7 +145,9 @@ def _compare(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vectors: (vec_id, embedding, label). Returns vec_id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label"))
     own = usable(rows.where("label is not null and vec_id is not null"))
     classes = materialize(own.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("m")), "classes")
     size = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
@@ -156,7 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     half = learn.shape[1] // 2
     books = (kmeans(learn[:, :half], side), kmeans(learn[:, half:], side))
     slack = fit_slack(classes, books, recall)
-    out = "label {}, embedding array<double>, node long, m long, cell long, visits array<long>".format(classes.schema["label"].dataType.simpleString())
+    out = f"label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, node long, m long, cell long, visits array<long>"
     placed = materialize(classes.mapInArrow(_cells(spark.sparkContext.broadcast((books, slack))), out), "cells")
 
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
