@@ -16,7 +16,7 @@ from ..functions import pieces, pseudonyms
 from ..functions.pseudonyms import CATEGORIES
 
 FORMS = {
-    "domain": pieces.domain, "host": pieces.host, "guid": pieces.guid, "token": pieces.token, "machine": pieces.machine, "address": pieces.address, "dn": pieces.dn,
+    "domain": pieces.domain, "host": pieces.host, "guid": pieces.guid, "token": pieces.token, "machine": pieces.machine, "address": pieces.address, "dn": pieces.dn, "path_": pieces.path, "url_": pieces.url,
     "oids": lambda v: iter([("oids", v)]), "opaque": lambda v: iter([("opaque", v)]), "cert_templates": lambda v: iter([("cert_templates", v)]),
 }
 KEPT_FORMS = {"sid": pieces.sid, "shape": pieces.by_shape, "name_at": pieces.name_at_domain, "group_at": pieces.group_at_host}
