@@ -29,6 +29,7 @@ class Scanner:
             s = self.fold(s)
             self.by_head.setdefault(s[:2], {}).setdefault(len(s), set()).add(s)
         self.lengths = {h: sorted(v, reverse=True) for h, v in self.by_head.items()}
+        self.heads = re.compile("|".join(map(re.escape, sorted(self.by_head, key=len, reverse=True)))) if self.by_head else None
 
     def at(self, text: str, low: str, k: int) -> int:
         """The length of the longest literal at k, 0 if there is none."""
@@ -38,14 +39,20 @@ class Scanner:
                     return n
         return 0
 
+    def next(self, low: str, k: int) -> int:
+        """The first place from k on where a literal may start, or -1."""
+        m = self.heads.search(low, k) if self.heads else None
+        return m.start() if m else -1
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Leftmost, longest, without overlaps."""
-        low, out, k = self.lower(text), [], 0
-        while k < len(text):
+        low, out = self.lower(text), []
+        k = self.next(low, 0)
+        while k >= 0:
             n = self.at(text, low, k)
             if n:
                 out.append((k, k + n))
-            k += n or 1
+            k = self.next(low, k + (n or 1))
         return out
 
     def lower(self, text: str) -> str:
@@ -77,24 +84,24 @@ class Text:
         """Whole words only, nothing inside a pseudonym; the text, replacements by category, hits without an owner."""
         counts, unresolved = Counter(), 0
         for scanner, allowed in self.passes:
-            taken = [False] * (len(text) + 1)
+            taken = bytearray(len(text))
             for a, b in self.fakes.spans(text):
-                taken[a:b] = [True] * (b - a)
-            low, out, k = scanner.lower(text), [], 0
-            while k < len(text):
-                n = scanner.at(text, low, k)
+                taken[a:b] = b"\1" * (b - a)
+            low, out, done = scanner.lower(text), [], 0
+            k = scanner.next(low, 0)
+            while k >= 0:
+                n = 0 if k and text[k - 1] in WORD else scanner.at(text, low, k)
                 got = None
-                if n and not (k and text[k - 1] in WORD) and not (k + n < len(text) and text[k + n] in WORD) and not any(taken[k : k + n]):
+                if n and not (k + n < len(text) and text[k + n] in WORD) and not any(taken[k : k + n]):
                     hit = text[k : k + n]
                     got = next(((c, self.to[c, x]) for c in allowed if (c, x := normalize(c, hit)) in self.to), None)
                     unresolved += got is None
                 if got:
-                    out.append(got[1])
+                    out += [text[done:k], got[1]]
                     counts[got[0]] += 1
-                    k += n
-                else:
-                    out.append(text[k])
-                    k += 1
+                    done = k + n
+                k = scanner.next(low, k + n if got else k + 1)
+            out.append(text[done:])
             text = "".join(out)
         return text, counts, unresolved
 
