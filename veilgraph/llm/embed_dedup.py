@@ -163,6 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocked = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    blocked = blocked.repartition("label", "cell", "block")  # else a cell's blocks would all be gathered where the join dealt them
     blocks = materialize(blocked.groupBy("label", "cell", "block").agg(F.collect_list(F.struct("node", "m", "embedding")).alias("rows")), "blocks")
     visit = placed.select("label", "cell", F.explode("visits").alias("to")).select("label", F.least("cell", "to").alias("a"), F.greatest("cell", "to").alias("b")).distinct()
     side_of = lambda x: blocks.select("label", *[F.col(c).alias(f"{c}_{x}") for c in ("cell", "block", "rows")])
