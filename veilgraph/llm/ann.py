@@ -152,11 +152,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     codes = materialize(codes, "codes")
     sizes = codes.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    blocks = codes.join(sizes, "group").groupBy("group", block.alias("block")).agg(F.collect_list(F.struct("node", "list", "code")).alias("codes"))
+    # dealt anew by block: else a group's blocks would all be gathered where the join dealt them
+    blocks = codes.join(sizes, "group").withColumn("block", block).repartition("group", "block").groupBy("group", "block").agg(F.collect_list(F.struct("node", "list", "code")).alias("codes"))
     routed = materialize(asked.mapInArrow(_route(index), "query_id long, embedding array<double>, group long, lists array<long>"), "routed")
     counts = routed.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("query_id", F.lit(4)), F.col("parts")).cast("int")
-    grouped = routed.join(counts, "group").groupBy("group", part.alias("part")).agg(F.collect_list(F.struct("query_id", "embedding", "lists")).alias("queries"))
+    grouped = routed.join(counts, "group").withColumn("part", part).repartition("group", "part").groupBy("group", "part").agg(F.collect_list(F.struct("query_id", "embedding", "lists")).alias("queries"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes: the rows are small and costly
     guesses = blocks.join(grouped, "group").repartition(width, "group", "block", "part").select("codes", "queries").mapInArrow(_scan(index, KEEP), schema(query_id=LONG, node=LONG, guess=DOUBLE))
     best = guesses.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("guess", "node"))).where(f"k <= {KEEP}").select("query_id", "node")
