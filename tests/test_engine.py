@@ -158,3 +158,15 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.text for r in spark.table("scrubbed").collect()] == ["hello zfoo1"]
+
+
+def test_catalog_predicates(spark):
+    from veilgraph.operators import classify
+
+    rows = [("S-1-5-32-544", "core_global_default"), ("s-1-5-32-553", "microsoft_feature_default"), ("S-1-5-21-1-2-3-512", "custom"), ("S-1-9", "unknown")]
+    got = spark.createDataFrame(rows, "sid string, want string").select(classify.sid_privacy(F.col("sid")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+    one = spark.createDataFrame([(" Domain ADMINS ", 512, "31B2F340-016D-11D2-945F-00C04FB984F9"), ("alice", 1104, "31B2F340-016D-11D2-945F-00C04FB984F0")], "n string, r int, g string")
+    flags = one.select(classify.is_builtin_name(F.col("n")), classify.is_builtin_rid(F.col("r")), classify.is_wellknown_guid(F.col("g"))).collect()
+    assert [tuple(f) for f in flags] == [(True,) * 3, (False,) * 3]
+    assert classify.is_core_constant("CertTemplate", "TEMPLATE", "User", "Properties.templatename") and not classify.is_core_constant("User", "TEMPLATE", "User", "Properties.templatename")

@@ -32,3 +32,29 @@ def contexts(objects: DataFrame) -> DataFrame:
     best = met.groupBy("member", "part", "idx").agg(F.min(F.struct("t.rank", "entry_id", "entry_privacy")).alias("b"))
     privacy = F.when(F.col("node_type") == "Unknown", "unknown").otherwise(F.coalesce("b.entry_privacy", F.lit("custom")))
     return own.join(best, ["member", "part", "idx"], "left").withColumn("privacy", privacy).withColumn("catalog_rule_id", F.col("b.entry_id")).drop("b")
+
+
+def sid_privacy(sid: Column) -> Column:
+    """The privacy class of a whole SID; a domain's SIDs are never global."""
+    pairs = F.create_map(*[F.lit(x) for e in tables.catalog() if e.kind == "SID" for x in (e.value, e.privacy)])
+    return F.when(F.upper(sid).startswith("S-1-5-21-"), "custom").otherwise(F.coalesce(pairs[F.upper(sid)], F.lit("unknown")))
+
+
+def is_builtin_name(name: Column) -> Column:
+    """An exact name of a built-in principal, object or template."""
+    return fold(F.trim(name)).isin(*sorted(tables.core_names()))
+
+
+def is_builtin_rid(rid: Column) -> Column:
+    return rid.cast("string").isin(*[e.value for e in tables.catalog() if e.kind == "RID" and e.privacy == tables.CORE])
+
+
+def is_wellknown_guid(guid: Column) -> Column:
+    """The null GUID or a default policy's."""
+    return F.lower(F.trim(guid)).isin(*sorted({e.value for e in tables.catalog() if e.rule_id == "guid.null" or e.rule_id.startswith("gpo.")}))
+
+
+def is_core_constant(node: str, kind: str, identifier: str, path: str, value: str | None = None) -> bool:
+    """The catalog keeps this value (the identifier itself, if none is given) at this path."""
+    own = next((e for e in tables.catalog() if e.kind == kind and e.value == tables.normal(kind, identifier) and node in e.node_types), None)
+    return own is not None and own.privacy == tables.CORE and dict(own.keep).get(path) == (identifier if value is None else value).casefold()
