@@ -170,3 +170,63 @@ def test_catalog_predicates(spark):
     flags = one.select(classify.is_builtin_name(F.col("n")), classify.is_builtin_rid(F.col("r")), classify.is_wellknown_guid(F.col("g"))).collect()
     assert [tuple(f) for f in flags] == [(True,) * 3, (False,) * 3]
     assert classify.is_core_constant("CertTemplate", "TEMPLATE", "User", "Properties.templatename") and not classify.is_core_constant("User", "TEMPLATE", "User", "Properties.templatename")
+
+
+V1 = {"salt": SALT, "categories": {"sids": {"1-2-3": "S-1-5-21-7-8-9", "S-1-5-21-1-2-3-1104": "S-1-5-21-4-5-6", "S-1-5-21-1-2-3-1104-77": "S-1-5-21-4-5-66", "S-1-5-32-544": "S-1-5-32-544"}}}
+
+
+def test_first_format_of_mappings(spark, tmp_path):
+    from veilgraph.operators import mapping
+
+    def load(own):
+        (tmp_path / "m.json").write_text(json.dumps(own))
+        return publish.load_mapping(str(tmp_path / "m.json"))
+
+    saved = load(V1)
+    assert saved["categories"]["sids"] == {"S-1-5-21-1-2-3": "S-1-5-21-7-8-9", "S-1-5-21-1-2-3-1104": "S-1-5-21-7-8-9-6", "S-1-5-32-544": "S-1-5-32-544"}
+    assert saved["legacy_reverse_aliases"] == {"S-1-5-21-7-8-9-66": "S-1-5-21-1-2-3-1104-77"}
+    ask = lambda table, name, f, v: [r[2] for r in f(table, spark.createDataFrame([(v,)], f"{name} string")).collect()]
+    assert ask(mapping.reversals(spark, saved), "pseudonym", mapping.reverse, "s-1-5-21-7-8-9-66") == ["S-1-5-21-1-2-3-1104-77"]
+    assert ask(mapping.from_map(spark, saved), "real", mapping.forward, "S-1-5-21-1-2-3-1104-77") == []
+    text = spark.createDataFrame([("S-1-5-21-7-8-9-66 S-1-5-21-7-8-9-6",)], "text string")
+    assert job.restore(spark, str(tmp_path / "m.json"), text).first().text == "S-1-5-21-1-2-3-1104-77 S-1-5-21-1-2-3-1104"
+    assert load({"salt": SALT, "categories": {"sids": {"1-2-3": "x"}}})["categories"]["sids"] == {"1-2-3": "x"}
+    alias = lambda fake, real: {"salt": SALT, "format_version": 2, "categories": {"sids": {"S-1-5-21-1-2-3-4": "S-1-5-21-7-8-9-5"}}, "legacy_reverse_aliases": {"sids": {fake: real}}}
+    assert load(alias("S-1-5-21-7-8-9-6", "S-1-5-21-1-2-3-4-5"))["legacy_reverse_aliases"]
+    deep = {**V1["categories"]["sids"], "S-1-5-21-1-2-3-1105-78": "S-1-5-21-4-5-66"}
+    for bad in (
+        alias("S-1-5-21-7-8-9", "S-1-5-21-1-2-3-4-5"), alias("S-1-5-21-7-8-9-6", "S-1-5-21-1-2-3-4"), alias("S-1-5-21-7-8-9-06", "S-1-5-21-1-2-3-4-5"), alias("S-1-5-21-7-8-9-5", "S-1-5-21-1-2-3-4-5"),
+        {"salt": SALT, "legacy_reverse_aliases": {"hosts": {"a": "b"}}}, {"salt": SALT, "categories": {"what": {}}}, {"salt": SALT, "format_version": 3}, {"categories": {}}, {"salt": SALT, "categories": {"sids": deep}},
+    ):
+        with pytest.raises(publish.PublishError):
+            load(bad)
+    with pytest.raises(mapping.MappingError):
+        mapping.check_reuse(spark.createDataFrame([("sids", "s-1-5-21-7-8-9-66")], "category string, pseudonym_norm string"), saved)
+
+
+def test_fingerprint_ignores_order(spark, run):
+    from veilgraph.operators import mapping
+
+    first = mapping.fingerprint(run.registry)
+    assert first[0] == run.registry.count() and mapping.fingerprint(run.registry.repartition(5).orderBy(F.desc("norm"))) == first
+    assert mapping.fingerprint(run.registry.withColumn("pseudonym", F.concat("pseudonym", F.lit("x")))) != first
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from veilgraph.__main__ import main
+
+    out, map_ = str(tmp_path / "out.zip"), str(tmp_path / "map.json")
+    assert main(["anonymize", "--input", str(folder), "--out", out, "--map", map_, "--salt", SALT, "--no-summary"]) == 0
+    assert json.loads(capsys.readouterr().out)["object_classifications"]
+    assert main(["inspect", "--input", str(folder), "--no-progress"]) == 0 and "objects: " in capsys.readouterr().out
+    fake = publish.load_mapping(map_)["categories"]["accounts"]["zqalice"]
+    assert main(["restore", "--map", map_, "--lookup", fake]) == 0 and "accounts\tzqalice" in capsys.readouterr().out
+    (tmp_path / "t.txt").write_text("ask ZQAlice")
+    assert main(["scrub", "--map", map_, "--input", str(tmp_path / "t.txt"), "--summary"]) == 0
+    got = capsys.readouterr()
+    assert got.out == f"ask {fake}" and "accounts" in got.err and "unresolved: 0" in got.err
+    bad = tmp_path / "bad.json"
+    bad.write_text(json.dumps({"meta": {"type": "users", "count": 5}, "data": []}))
+    assert main(["anonymize", "--input", str(bad), "--out", str(tmp_path / "no"), "--verbose-failures"]) == 1
+    assert "source-invalid-meta-count" in capsys.readouterr().err
+    assert main(["anonymize", "--input", str(folder), "--out", out]) == 2

@@ -99,3 +99,11 @@ def test_scrub_and_restore():
 def test_sweep():
     assert textops.sweep("Bob bobby BOB, ann", {"bob": "X", "ann": "Y"}) == "X bobby X, Y"
     assert textops.distinct_ignoring_case(["a", "A", "b"]) == ["a", "b"] and textops.token_pattern([]) is None
+
+
+def test_tokens_ignoring_case():
+    assert [textops.signature(c) for c in ("I", "İ", "ı", "ſ", "K", "ς", "ẞ")] == [("i",), ("i",), ("i",), ("s",), ("k",), ("σ",), ("ss",)]
+    assert textops.signature("ﬆ") == textops.signature("ﬅ") and textops.one_spelling("ﬆẞΰCafÉ") == "ﬅßΰcafé"
+    assert textops.distinct_ignoring_case(["İ", "ı", "ß", "ss"]) == ["i", "ß", "ss"]
+    assert textops.find_tokens("Bob bobby BOB", ["bob", "Bobby x"]) == {"Bob", "BOB"} and textops.find_tokens("a", []) == set()
+    assert textops.sweep("BOB and Bo", {"Bob": "X", "bob": "Y", "bo": "Z"}) == "X and Z"

@@ -176,3 +176,23 @@ def from_map(spark: SparkSession, saved: dict) -> DataFrame:
     """A saved mapping as a mapping table."""
     rows = [(c, pseudonyms.normalize(c, r), r, p, pseudonyms.normalize(c, p), 1) for c, own in saved["categories"].items() for r, p in own.items() if isinstance(p, str)]
     return spark.createDataFrame(rows, "category string, norm string, real string, pseudonym string, pseudonym_norm string, variants long")
+
+
+def reversals(spark: SparkSession, saved: dict) -> DataFrame:
+    """A saved mapping for reversal: with the aliases that have no forward direction."""
+    rows = [("sids", pseudonyms.normalize("sids", r), r, p, pseudonyms.normalize("sids", p), 1) for p, r in saved.get("legacy_reverse_aliases", {}).items()]
+    own = from_map(spark, saved)
+    return own.union(spark.createDataFrame(rows, own.schema)) if rows else own
+
+
+def check_reuse(registry_: DataFrame, saved: dict) -> None:
+    """A new pseudonym may not be one that an alias of the reused mapping stands for."""
+    aliases = [(pseudonyms.normalize("sids", p),) for p in saved.get("legacy_reverse_aliases", {})]
+    if aliases and not registry_.where("category = 'sids'").join(registry_.sparkSession.createDataFrame(aliases, "pseudonym_norm string"), "pseudonym_norm", "left_semi").isEmpty():
+        raise MappingError("sids: pseudonym collision with a reverse-only alias")
+
+
+def fingerprint(registry_: DataFrame) -> tuple:
+    """A digest of the table that no order or partitioning changes."""
+    h = F.xxhash64("category", "norm", "real", "pseudonym", "pseudonym_norm", "variants").cast("decimal(38,0)")
+    return tuple(registry_.agg(F.count("*"), F.sum(h), F.bit_xor(F.xxhash64("pseudonym_norm", "real", "category"))).first())

@@ -18,7 +18,11 @@ from .tables import Config
 
 
 class LeakError(RuntimeError):
-    """The gate found something; nothing was published."""
+    """The gate found something; nothing was published. findings: all of it."""
+
+    def __init__(self, message: str, findings: DataFrame | None = None):
+        super().__init__(message)
+        self.findings = findings
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -131,10 +135,14 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
     run = transform(collection.read_members(spark, source), salt, config, saved)
     if run.contexts.where("part = 0").isEmpty():
         raise collection.CollectionError("no member is a collection document")
+    mapping.check_reuse(run.registry, saved or {})
+    before = mapping.fingerprint(run.registry)
     found = frozen(run.findings, "findings")
     if not found.isEmpty():
-        raise LeakError(f"verification failed: {[tuple(r) for r in verify.by_gate(found).limit(50).collect()]}")
-    text = publish.mapping_text(run.registry, salt, collection.input_hash(run.members), policy(config)) if mapping_path else None
+        raise LeakError(f"verification failed: {[tuple(r) for r in verify.by_gate(found).limit(50).collect()]}", found)
+    if mapping.fingerprint(run.registry) != before:
+        raise LeakError("verification failed: registry-state-changed")
+    text = publish.mapping_text(run.registry, salt, collection.input_hash(run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
     rows = run.documents().orderBy("member").toLocalIterator()  # at most MAX_MEMBERS files
     publish.publish(((r.member, r.body) for r in rows), out, (mapping_path, text) if mapping_path else None)
     return audit.summary(run.audit())
@@ -161,5 +169,5 @@ def scrub(spark: SparkSession, mapping_path: str, texts: DataFrame, col: str = "
 
 
 def restore(spark: SparkSession, mapping_path: str, texts: DataFrame, col: str = "text") -> DataFrame:
-    own = textops.load(mapping.from_map(spark, publish.load_mapping(mapping_path)))
+    own = textops.load(mapping.reversals(spark, publish.load_mapping(mapping_path)))
     return texts.withColumn(col, textops.restore(F.col(col), own))

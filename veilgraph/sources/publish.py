@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import secrets
 import shutil
 import zipfile
@@ -12,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 
 from ..functions import jsontext
-from ..functions.pseudonyms import CATEGORIES
+from ..functions.pseudonyms import CATEGORIES, normalize
 
 
 class PublishError(ValueError):
@@ -91,28 +92,90 @@ def publish(members: Iterable[tuple[str, str]], out: str, mapping: tuple[str, st
         remove(staged)
 
 
-def mapping_text(registry: DataFrame, salt: str, input_hash: str, policy: dict | None = None, created: str | None = None) -> str:
-    """The mapping as a file: sorted keys, two spaces, ASCII."""
+def mapping_text(registry: DataFrame, salt: str, input_hash: str, policy: dict | None = None, created: str | None = None, aliases: dict[str, str] | None = None) -> str:
+    """The mapping as a file: sorted keys, two spaces, ASCII. aliases: reverse-only SIDs carried on from a reused mapping."""
     categories: dict[str, dict[str, str]] = {c: {} for c in CATEGORIES}
     for r in registry.select("category", "real", "pseudonym").toLocalIterator():
         categories[r.category][r.real] = r.pseudonym
-    own = {"categories": categories, "created": created or datetime.now(timezone.utc).isoformat(timespec="seconds"), "format_version": jsontext.Number(2), "input_hash": input_hash, "legacy_reverse_aliases": {}, "salt": salt}
+    old = {"sids": aliases} if aliases else {}
+    own = {"categories": categories, "created": created or datetime.now(timezone.utc).isoformat(timespec="seconds"), "format_version": jsontext.Number(2), "input_hash": input_hash, "legacy_reverse_aliases": old, "salt": salt}
     if policy is not None:
         own["policy"] = {k: jsontext.Number(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in policy.items()}
     return jsontext.dumps(own, sort=True, indent=2)
 
 
+def _buckets(own: dict, name: str) -> dict[str, dict[str, str]]:
+    got = own.get(name) or {}
+    if unknown := sorted(set(got) - set(CATEGORIES)):
+        raise PublishError(f"unknown category {unknown[0]}")
+    return {c: {a: b for a, b in got.get(c, {}).items() if isinstance(b, str)} for c in CATEGORIES}
+
+
+def upgrade_sids(sids: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """SIDs of a mapping of format 1 as those of format 2, and its reverse-only aliases.
+
+    Format 1 kept a domain under its three numbers alone and gave each SID below it a pseudonym as long as a domain's, whose last arc
+    is the one in use. One arc below the domain that makes a SID; further below only the pseudonym that was once given out is known, so
+    it stays for reversal and the SID is mapped anew.
+    """
+    whole = re.compile(r"(?i)S-1-5-21(?:-[0-9]+){3}")
+    domains = {f"S-1-5-21-{k}": p for k, p in sids.items() if re.fullmatch(r"[0-9]+-[0-9]+-[0-9]+", k) and whole.fullmatch(p)}
+    if not domains:
+        return sids, {}
+    out = {k: p for k, p in sids.items() if not re.fullmatch(r"[0-9]+-[0-9]+-[0-9]+", k)} | domains
+    aliases: dict[str, str] = {}
+    for real, fake in sids.items():
+        arcs = real.split("-")
+        home = domains.get("-".join(arcs[:7]).upper())
+        if home is None or len(arcs) < 8 or not whole.fullmatch(fake):
+            continue
+        given = f"{home}-{fake.rpartition('-')[2]}"
+        if len(arcs) == 8:
+            out[real] = given
+        else:
+            del out[real]
+            if aliases.setdefault(given, real) != real:
+                raise PublishError("reverse-only alias has ambiguous owners")
+    return out, aliases
+
+
+def check_aliases(aliases: dict[str, dict[str, str]], sids: dict[str, str]) -> None:
+    """Reverse-only aliases are SIDs one arc below a domain whose owners lie deeper, and nobody else's pseudonym."""
+
+    def arcs(sid: str) -> int:
+        got = re.fullmatch(r"S-1-5-21((?:-(?:0|[1-9][0-9]*)){4,})", sid)
+        return len(sid.split("-")) - 1 if got and all(int(a) < 1 << 32 for a in got[1][1:].split("-")) else 0
+
+    if any(own for c, own in aliases.items() if c != "sids"):
+        raise PublishError("reverse-only aliases are for SIDs alone")
+    taken, seen = {normalize("sids", p) for p in sids.values()}, {}
+    for fake, real in aliases.get("sids", {}).items():
+        if arcs(fake) != 7 or arcs(real) <= 7:
+            raise PublishError("reverse-only alias has an invalid SID hierarchy")
+        norm = normalize("sids", fake)
+        if norm in taken or seen.setdefault(norm, real) != real:
+            raise PublishError("reverse-only alias has ambiguous owners")
+
+
 def load_mapping(path: str, catalog_version: int | None = None) -> dict:
-    """A saved mapping. With catalog_version, one made under another version, or under none, is refused."""
+    """A saved mapping, format 1 upgraded. With catalog_version, one made under another version, or under none, is refused."""
     import json
 
     with open(path, encoding="utf-8") as f:
         own = json.load(f)
     if not isinstance(own.get("salt"), str):
         raise PublishError("mapping has no salt")
-    if own.get("format_version", 1) not in (1, 2):
+    version = own.get("format_version", 1)
+    if version not in (1, 2):
         raise PublishError("unsupported mapping format")
-    own["categories"] = {c: {r: p for r, p in own.get("categories", {}).get(c, {}).items() if isinstance(p, str)} for c in CATEGORIES}
+    own["categories"], aliases = _buckets(own, "categories"), _buckets(own, "legacy_reverse_aliases")
+    if version == 1:
+        own["categories"]["sids"], found = upgrade_sids(own["categories"]["sids"])
+        for fake, real in found.items():
+            if aliases["sids"].setdefault(fake, real) != real:
+                raise PublishError("reverse-only alias has ambiguous owners")
+    check_aliases(aliases, own["categories"]["sids"])
+    own["legacy_reverse_aliases"] = aliases["sids"]
     if catalog_version is not None and (own.get("policy") or {}).get("catalog_version") != catalog_version:
         raise PublishError("mapping was made under another catalog version")
     return own
