@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import LONG, STRING, schema, table
+from .common import LONG, STRING, hold, schema, table
 
 #: Bounds of a worker's memory: words kept, border decisions kept, characters in one trie.
 WORDS, BORDERS, TRIE_CHARS = 700_000, 400_000, 400_000
@@ -160,7 +160,7 @@ class Rendered(dict):
 
     def __init__(self, path: str):
         self.trie = BpeTrie(path)
-        self.plain = wordbpe.words(path)
+        self.plain = wordbpe.WordIds(path)
         self.chars = wordbpe.byte_chars()
         self.pre, self.norm = self.plain.whole.pre_tokenizer, self.plain.whole.normalizer
 
@@ -204,14 +204,9 @@ class Rendered(dict):
             self[w] = (len(own), " ".join(map(str, own)).encode(), self.trie.decode(own).encode())
 
 
-_rendered: dict[str, Rendered] = {}
-
-
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _rendered:
-            _rendered[path] = Rendered(path)
-        known = _rendered[path]
+        known = hold(("trie", path), lambda: Rendered(path))
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, len(docs), 1000):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,3 +125,23 @@ LONG, INT, DOUBLE, STRING, BINARY = T.LongType(), T.IntegerType(), T.DoubleType(
 
 def schema(**fields) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_held: dict[object, object] = {}
+
+
+def hold(key: object, build: Callable[[], object]):
+    """This worker's one lasting memory (words, a model). Workers outlive stages, so what another operator
+    left is given up first: a worker's memory is bounded by its largest operator, not by their sum."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Give up what an earlier operator left in this worker; operators that keep nothing begin with it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, LONG, STRING, crc_mod, schema, table
+from .common import DOUBLE, LONG, STRING, crc_mod, hold, schema, table
 
 #: Fitting: so many labelled rows of a language, of each a window of so many characters at a place its id decides; dictionary bytes.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY = 128, 320, 32_768
@@ -77,15 +77,9 @@ def decide(model: Model, compressors: list, text: str | None) -> tuple[str, floa
     return model.dictionaries[ranked[0]][0], gap
 
 
-_ready: dict[str, list] = {}
-
-
 def ready(model: Model) -> list:
     """This worker's compressors of the model."""
-    if model.key not in _ready:
-        _ready.clear()
-        _ready[model.key] = model.compressors()
-    return _ready[model.key]
+    return hold(("language", model.key), model.compressors)
 
 
 def _predict(shared):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG, STRING, schema, table
+from .common import LONG, STRING, release, schema, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
@@ -127,6 +127,7 @@ OUT = schema(doc_id=LONG, n_email=LONG, n_ip=LONG, n_card=LONG, n_phone=LONG, ba
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
         for text in batch.column("text"):
@@ -149,6 +150,7 @@ def redacted(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        release()
         return texts.map(redact, na_action="ignore")
 
     return run(text)

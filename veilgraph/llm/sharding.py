@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INT, LONG, STRING, materialize, schema, table, with_bases
+from .common import INT, LONG, STRING, materialize, release, schema, table, with_bases
 
 SHARDS = 24
 
@@ -48,6 +48,7 @@ PLACED = schema(doc_id=LONG, size=LONG, text_crc32=LONG, shard=INT, grown_shard=
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts the rows of each shard within a task."""
+    release()
     part, seen = TaskContext.get().partitionId(), np.zeros(0, np.int64)
     for batch in batches:
         shards = batch.column("shard").to_numpy()

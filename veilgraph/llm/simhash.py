@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG, connected_components, materialize, schema, table
+from .common import LONG, connected_components, materialize, release, schema, table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))  # first bit, width, radius
@@ -46,6 +46,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         got = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, INT, LONG, STRING, crc_mod, schema, table
+from .common import DOUBLE, INT, LONG, STRING, crc_mod, hold, release, schema, table
 
 LENGTHS = (3, 4, 5)
 #: Fitting: at most so many labelled rows of each class, so many n-grams; least texts with an n-gram and least z-value of its ratio.
@@ -78,6 +78,7 @@ def sample_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either class with each n-gram, summed over the task."""
+    release()
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
@@ -147,15 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(dict(zip(vocabulary, map(float, w))), float(b))
 
 
-_ready: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """This worker's scorer of the model."""
-    if model.key not in _ready:
-        _ready.clear()
-        _ready[model.key] = Scorer(model)
-    return _ready[model.key]
+    return hold(("toxicity", model.key), lambda: Scorer(model))
 
 
 def _score(shared):

@@ -14,6 +14,8 @@ from functools import partial
 
 import numpy as np
 
+from .common import hold
+
 #: What the quick way does not cover: these characters, and the strings that start the special tokens.
 ODD, SPECIAL = re.compile(r"[^\t-\r\x20-\x7e\x80-ɏ]"), "<|"
 #: The tokenizer's split pattern, written for characters below U+0250 with this module's idea of letters and numbers.
@@ -83,14 +85,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_words: dict[str, WordIds] = {}
-
-
 def words(path: str) -> WordIds:
     """This worker's memory for a vocabulary file."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    return hold(("words", path), lambda: WordIds(path))
 
 
 def default_path() -> str:
