@@ -354,3 +354,14 @@ def test_pipeline_on_odd_documents(spark, docs, none, tmp_path):
         for _, f in corpus_pipeline.STAGES:
             frame = common.materialize(f(spark, frame, f"file://{tmp_path}"), "s")
         frame.count()
+
+
+def test_a_worker_holds_one_memory():
+    first = common.hold("a", list)
+    first.append(1)
+    assert common.hold("a", list) is first
+    other = common.hold("b", dict)
+    assert other == {} and common.hold("b", dict) is other and common.hold("a", list) == []
+    common.release()
+    assert common.hold("a", list) == []
+    common.release()
