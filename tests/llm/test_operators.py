@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -296,6 +297,34 @@ def test_op6(vectors):
     assert embed_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def linked_pair(r, d, cosine):
+    """Two unit vectors at a cosine; their difference lies along one coordinate as far as it can."""
+    a = r.normal(size=d)
+    a /= np.linalg.norm(a)
+    b = np.eye(d)[r.integers(d)]
+    b -= a * (a @ b)
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b)
+
+
+def links_of(spark, x):
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0})
+    return embed_dedup.near_duplicates(spark.createDataFrame(frame)).toPandas().sort_values("vec_id")
+
+
+def test_op6_links_beside_a_hot_group(spark):
+    r = np.random.default_rng(6)
+    hot = r.normal(size=16) + r.normal(size=(2000, 16)) * 1e-3
+    rest = [v for _ in range(1500) for v in linked_pair(r, 16, 0.935)]
+    x = np.concatenate([hot, rest])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    got = links_of(spark, x)
+    assert list(got.n_links) == list(link.sum(1))
+    pairs = [(0, k) for k in range(2000)] + [(a, b) for a, b in np.argwhere(link) if b >= 2000]  # the hot ones are all linked
+    assert link[:2000, :2000].sum() == 2000 * 1999 and list(got.component_id) == least_reachable(len(x), pairs)
+
+
 def test_op8(vectors):
     rows = vectors.toPandas().sort_values("vec_id")
     rows = rows[[sound(v) for v in rows.embedding]]

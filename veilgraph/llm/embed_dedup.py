@@ -1,13 +1,13 @@
 """op6: near-duplicate vectors by an inverted multi-index.
 
-Independent codebooks for the two halves of unit vectors form a grid of cells. From a vector the multi-sequence
-algorithm (Babenko and Lempitsky, 2012) visits cells by rising sum of half-distances, until that sum exceeds the nearest
-cell's by a slack. The slack is fitted: for a bounded set of vectors all their links are found by brute force against every
-vector, and it is chosen so that the wanted share of them lies within. Two cells are compared if any vector
-of one visits the other; each pair of cells once, all their pairs verified in double precision.
+Independent codebooks for the two halves of unit vectors form a grid of cells. Cells of up to BLOCK vectors are blocks, larger
+ones are cut in blocks. From a block the multi-sequence algorithm (Babenko and Lempitsky, 2012) visits cells by rising sum of
+squared gaps of the halves, until that sum exceeds the squared distance 2 - 2 * threshold. A half's gap to another center is the least
+distance of a vector of the block from the plane half-way to that center. A link crosses that plane if its other end lies
+beyond it, so no sum of squared gaps exceeds the link's squared distance: nothing is fitted and no link is lost, however the
+links lie. Two blocks are compared if each visits the other's cell; all their pairs are verified in double precision.
 
-Equal vectors of a label are one class, so copies cost nothing. Large cells are cut in blocks, so no task holds more than
-two blocks. Of a pair of blocks only each vector's number of links and its component leave the task, never the pairs.
+Equal vectors of a label are one class, so copies cost nothing. No task holds more than two blocks at a time. Of a pair of blocks only each vector's number of links and its component leave the task, never the pairs.
 
 Vectors that are null, zero or hold null or non-finite components, have no label or another length than most: no links,
 component themselves. Repeated vec_ids stay rows. An empty table gives no rows.
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import LONG, connected_components, materialize, schema, table
 from .vectors import kmeans, matrix, nearest, sample, unit, usable
 
-THRESHOLD, RECALL = 0.93, 0.995
-#: Fitting: vectors for the codebooks and for the slack; vectors wanted in a cell; the grid's largest side; a block's vectors.
-SAMPLE, PROBES, CELL, SIDE, BLOCK = 16_384, 512, 128, 512, 1024
-BINS, WIDEST = 256, 4.0
+THRESHOLD = 0.93
+#: Vectors for the codebooks; vectors wanted in a cell; the grid's largest side; a block's vectors.
+SAMPLE, CELL, SIDE, BLOCK = 16_384, 128, 512, 1024
+#: Centers closer than this count as one; what rounding may add to a sum of squared gaps.
+SAME, ROUNDING = 1e-6, 1e-6
 
 
 def distances(u: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,15 +39,14 @@ def distances(u: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
     return tuple((x * x).sum(1)[:, None] - 2 * x @ b.T + (b * b).sum(1) for x, b in zip((u[:, :half], u[:, half:]), books))
 
 
-def multi_sequence(d1: np.ndarray, d2: np.ndarray, slack: float) -> list[int]:
-    """Cells i * len(d2) + j by rising d1[i] + d2[j], while within slack of the least."""
-    o1, o2 = np.argsort(d1), np.argsort(d2)
-    s1, s2 = d1[o1], d2[o2]
-    most, out = s1[0] + s2[0] + slack, []
-    heap, seen = [(s1[0] + s2[0], 0, 0)], {(0, 0)}
+def multi_sequence(g1: np.ndarray, g2: np.ndarray, most: float) -> list[int]:
+    """Cells i * len(g2) + j by rising g1[i] + g2[j], up to most."""
+    o1, o2 = np.argsort(g1, kind="stable"), np.argsort(g2, kind="stable")
+    s1, s2 = g1[o1], g2[o2]
+    out, heap, seen = [], [(s1[0] + s2[0], 0, 0)], {(0, 0)}
     while heap and heap[0][0] <= most:
         _, i, j = heapq.heappop(heap)
-        out.append(int(o1[i]) * len(d2) + int(o2[j]))
+        out.append(int(o1[i]) * len(g2) + int(o2[j]))
         for a, b in ((i + 1, j), (i, j + 1)):
             if a < len(s1) and b < len(s2) and (a, b) not in seen:
                 seen.add((a, b))
@@ -54,53 +54,37 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, slack: float) -> list[int]:
     return out
 
 
-def _excess(shared):
-    """For links with the probe vectors: how many have each excess of half-distances over the nearest cell's."""
+def gaps(d: np.ndarray, book: np.ndarray, own: int) -> np.ndarray:
+    """Squared: how near vectors at squared distances d to the centers, all nearest to center own, come to the half-space of each other center."""
+    apart = np.sqrt(((book - book[own]) ** 2).sum(1))
+    gap = np.maximum(d - d[:, own : own + 1], 0).min(0) / (2 * np.maximum(apart, SAME))
+    return np.where(apart > SAME, gap * gap, 0.0)
 
+
+def _cells(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes, labels, books = shared.value
-        p1, p2 = distances(probes, books)
-        low, n2 = p1.min(1) + p2.min(1), len(books[1])
-        counts = np.zeros(BINS, np.int64)
+        books = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            u, own = unit(matrix(batch.column("embedding"))), np.array(batch.column("label").to_pylist())
-            x1, x2 = distances(u, books)
-            near = np.minimum((u @ probes.T), 2.0)
-            at, q = np.nonzero((near >= THRESHOLD) & (near < 1 - 1e-12) & (own[:, None] == labels[None, :]))
-            i, j = x1[at].argmin(1), x2[at].argmin(1)
-            there = p1[q, i] + p2[q, j] - low[q]
-            pi, pj = p1[q].argmin(1), p2[q].argmin(1)
-            back = x1[at, pi] + x2[at, pj] - x1[at].min(1) - x2[at].min(1)
-            bins = np.minimum((np.minimum(there, back) * BINS / WIDEST).astype(int), BINS - 1)
-            counts += np.bincount(np.maximum(bins, 0), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(counts)], names=["bin", "n"])
+            if len(batch):
+                d1, d2 = distances(unit(matrix(batch.column("embedding"))), books)
+                cell = d1.argmin(1) * len(books[1]) + d2.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=[*batch.schema.names, "cell"])
 
     return run
 
 
-def fit_slack(classes: DataFrame, books, recall: float) -> float:
-    spark = classes.sparkSession
-    got = classes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(PROBES).select("label", "embedding").toArrow()
-    shared = spark.sparkContext.broadcast((unit(matrix(got.column(1))), np.array(got.column(0).to_pylist()), books))
-    rows = classes.select("label", "embedding").mapInArrow(_excess(shared), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BINS)
-    for r in rows:
-        counts[r.bin] = r.n
-    if not counts.sum():
-        return WIDEST / BINS
-    return float(np.searchsorted(np.cumsum(counts), recall * counts.sum()) + 1) * WIDEST / BINS
-
+def _visits(shared, threshold: float):
+    """A row for each block and cell that it visits."""
 
-def _cells(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, slack = shared.value
+        books = shared.value
         for batch in batches:
-            if len(batch):
-                d1, d2 = distances(unit(matrix(batch.column("embedding"))), books)
-                visits = [multi_sequence(a, b, slack) for a, b in zip(d1, d2)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v[0] for v in visits], pa.int64()), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell", "visits"])
+            for row in range(len(batch)):
+                i, j = divmod(batch.column("cell")[row].as_py(), len(books[1]))
+                d1, d2 = distances(unit(matrix(batch.column("rows")[row].values.field("embedding"))), books)
+                to = multi_sequence(gaps(d1, books[0], i), gaps(d2, books[1], j), 2 - 2 * threshold + ROUNDING)
+                at = pa.array(np.full(len(to), row))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("label", "cell", "block")], pa.array(to, pa.int64())], names=["label", "cell", "block", "to"])
 
     return run
 
@@ -142,7 +126,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors: (vec_id, embedding, label). Returns vec_id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -157,22 +141,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     learn = unit(sample(classes, SAMPLE))
     half = learn.shape[1] // 2
     books = (kmeans(learn[:, :half], side), kmeans(learn[:, half:], side))
-    slack = fit_slack(classes, books, recall)
-    out = f"label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, node long, m long, cell long, visits array<long>"
-    placed = materialize(classes.mapInArrow(_cells(spark.sparkContext.broadcast((books, slack))), out), "cells")
+    shared = spark.sparkContext.broadcast(books)
+    group = f"label {classes.schema['label'].dataType.simpleString()}"
+    placed = materialize(classes.mapInArrow(_cells(shared), f"{group}, embedding {kind}, node long, m long, cell long"), "cells")
 
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocked = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     blocked = blocked.repartition("label", "cell", "block")  # else a cell's blocks would all be gathered where the join dealt them
     blocks = materialize(blocked.groupBy("label", "cell", "block").agg(F.collect_list(F.struct("node", "m", "embedding")).alias("rows")), "blocks")
-    visit = placed.select("label", "cell", F.explode("visits").alias("to")).select("label", F.least("cell", "to").alias("a"), F.greatest("cell", "to").alias("b")).distinct()
+    visits = materialize(blocks.mapInArrow(_visits(shared, threshold), f"{group}, cell long, block int, to long"), "visits")
     side_of = lambda x: blocks.select("label", *[F.col(c).alias(f"{c}_{x}") for c in ("cell", "block", "rows")])
-    keys = blocks.select("label", "cell", "block")
-    pairs = (
-        visit.join(keys.select("label", F.col("cell").alias("a"), F.col("block").alias("block_a")), ["label", "a"])
-        .join(keys.select("label", F.col("cell").alias("b"), F.col("block").alias("block_b")), ["label", "b"])
-        .where("a < b or block_a <= block_b").withColumnsRenamed({"a": "cell_a", "b": "cell_b"})
-    )
+    there = visits.where("cell <= to").select("label", F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("to").alias("cell_b"))
+    back = visits.where("to <= cell").select("label", F.col("to").alias("cell_a"), F.col("cell").alias("cell_b"), F.col("block").alias("block_b"))
+    pairs = there.join(back, ["label", "cell_a", "cell_b"]).where("cell_a < cell_b or block_a <= block_b")
     met = pairs.join(side_of("a"), ["label", "cell_a", "block_a"]).join(side_of("b"), ["label", "cell_b", "block_b"])
     met = met.select((F.col("cell_a").eqNullSafe(F.col("cell_b")) & (F.col("block_a") == F.col("block_b"))).alias("same"), "rows_a", "rows_b")
     found = materialize(met.mapInArrow(_compare(threshold), schema(node=LONG, links=LONG, root=LONG)), "links")
