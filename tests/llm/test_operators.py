@@ -325,6 +325,17 @@ def test_op6_links_beside_a_hot_group(spark):
     assert link[:2000, :2000].sum() == 2000 * 1999 and list(got.component_id) == least_reachable(len(x), pairs)
 
 
+def test_op6_rare_links(spark):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(20_000, 20)), [v for _ in range(40) for v in linked_pair(r, 20, 0.931)]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = np.concatenate([np.argwhere(u[k : k + 2000] @ u.T >= 0.93) + [k, 0] for k in range(0, len(u), 2000)])
+    link = link[link[:, 0] != link[:, 1]]
+    got = links_of(spark, x)
+    assert list(got.n_links) == list(np.bincount(link[:, 0], minlength=len(x))) and got.n_links.sum() >= 80
+    assert list(got.component_id) == least_reachable(len(x), link)
+
+
 def test_op8(vectors):
     rows = vectors.toPandas().sort_values("vec_id")
     rows = rows[[sound(v) for v in rows.embedding]]
