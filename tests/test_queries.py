@@ -1,5 +1,7 @@
 import math
+import re
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -31,3 +33,14 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_scrub_word_boundary_on_every_text(spark, tmp_path):
+    docs = pd.read_parquet(f"{SF}/documents.parquet", columns=["doc_id", "text"])
+    odd = ["éthe theé the", "the\u0301 _the the_ THE", "日of本 of日", "ßand andß and1", "quéque Der\u00a0der", "İthe KTHE", "", None]
+    texts = pd.concat([docs, pd.DataFrame({"doc_id": range(10**9, 10**9 + len(odd)), "text": odd})])
+    texts.to_parquet(tmp_path / "documents.parquet")
+    got = entry.queries()["scrub_word_boundary_all"](spark, f"file://{tmp_path}").toPandas()
+    word = re.compile(r"(?<![A-Za-z0-9_])(?:the|of|and|que|der)(?![A-Za-z0-9_])", re.I | re.A)
+    want = {i: len(word.findall(t or "")) for i, t in zip(texts.doc_id, texts.text)}
+    assert len(got) == len(texts) and dict(zip(got.doc_id, got.n)) == want and docs.text.str.contains(r"[^\x00-\x7f]").any()

@@ -323,11 +323,21 @@ def _words(spark) -> textops.Text:
     return textops.Text([("accounts", w, f"zz{k}zz") for k, w in enumerate(("the", "of", "and", "que", "der"))])
 
 
+def _word_counts(docs: DataFrame) -> DataFrame:
+    got = docs.select("doc_id", textops.scrub(F.col("text"), _words(docs.sparkSession)).alias("s"))
+    return got.select("doc_id", F.coalesce(F.aggregate(F.map_values("s.counts"), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).alias("n"))
+
+
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\b(?:the|of|and|que|der)\b')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$') ")
 def scrub_word_boundary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A\p{ASCII}*\z"))
-    got = d.select("doc_id", textops.scrub(F.col("text"), _words(spark)).alias("s"))
-    return got.select("doc_id", F.coalesce(F.aggregate(F.map_values("s.counts"), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).alias("n"))
+    """The ASCII texts, as in its SQL; scrub_word_boundary_all has every text."""
+    return _word_counts(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A\p{ASCII}*\z")))
+
+
+@query()
+def scrub_word_boundary_all(spark, sf_dir):
+    """Held against brute force in tests: word boundaries are ASCII, whatever letters stand beside."""
+    return _word_counts(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
