@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -355,6 +356,22 @@ def test_op8(vectors):
     assert ann.search(vectors.limit(0), vectors).count() == 0
 
 
+def test_op8_visits_of_a_hot_group():
+    r = np.random.default_rng(3)
+    c = r.normal(size=(200, 32))
+    hot = c[0] + r.normal(size=(10_000, 32)) * 0.02
+    x = np.concatenate([hot, c[r.integers(200, size=20_000)] + r.normal(size=(20_000, 32)) * 0.3])
+    index = ann.Index(x[r.permutation(len(x))[: ann.SAMPLE]], len(x), 10)
+    own = index.encode(x)[0]
+    for asked in (np.arange(0, 10_000, 100), np.arange(10_000, 30_000, 200)):
+        batch = pa.RecordBatch.from_arrays([pa.array(asked), pa.array(list(x[asked]))], names=["query_id", "embedding"])
+        visits = collections.defaultdict(set)
+        for q, lists in ((q, y) for b in ann._route(types.SimpleNamespace(value=index))([batch]) for q, y in zip(*(b.column(c).to_pylist() for c in ("query_id", "lists")))):
+            visits[q].update(lists)
+        near = [np.argsort(((x - x[q]) ** 2).sum(1))[1:11] for q in asked]
+        assert sum(own[n] in visits[q] for q, ns in zip(asked, near) for n in ns) >= 0.95 * 10 * len(asked)
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(300, 360)]

@@ -2,8 +2,9 @@
 
 Coarse centroids and the codebooks of residuals are fitted on a bounded sample; every vector is indexed. A query is
 compared with the codes of its nearest lists through asymmetric distance tables, the best of all are ranked again by exact
-distances in double precision. How many lists a query visits is fitted on the sample: enough to hold the wanted share of its true
-neighbours.
+distances in double precision. How many lists a query visits is fitted on the sample for each nearest list of its own, so that a dense group can't be
+outweighed by the rest: enough to hold the wanted share of true neighbours of that list's vectors. A list without sampled
+vectors visits as many as the widest.
 
 Equal vectors are one class in the index and expand at the end to their least ids, as many as an answer can need, so copies
 cost nothing and ties go to smaller ids. Lists are stored in blocks and a task holds one block and one block of queries.
@@ -26,8 +27,8 @@ from .common import DOUBLE, LONG, materialize, schema, table
 from .vectors import kmeans, matrix, nearest, sample, usable
 
 K, QUERY_EVERY = 10, 100
-#: Fitting: sampled vectors and queries, share of true neighbours in the visited lists, most lists, dimensions of a code's byte.
-SAMPLE, TRIALS, RECALL, LISTS, DIMENSIONS = 16_384, 256, 0.97, 4096, 2
+#: Fitting: sampled vectors, queries of a list, share of true neighbours in the visited lists, most lists, dimensions of a code's byte.
+SAMPLE, TRIALS, RECALL, LISTS, DIMENSIONS = 16_384, 8, 0.97, 4096, 2
 #: Codes kept of a query and block for exact ranking; vectors in a block of codes; queries in a block.
 KEEP, BLOCK, QUERIES = 100, 8192, 256
 
@@ -47,12 +48,24 @@ class Index:
         order = np.argsort(self.centers @ main)
         self.group = np.empty(len(order), np.int64)
         self.group[order] = (np.cumsum(lists[order]) // BLOCK).astype(np.int64)
-        # rank of the list that holds each true neighbour, over trial queries
-        trial = learn[:: max(1, len(learn) // TRIALS)]
-        near = np.argsort((learn * learn).sum(1) - 2 * trial @ learn.T, axis=1)[:, 1 : k + 1]
-        rank = np.argsort(np.argsort(self.to_centers(trial), axis=1), axis=1)
-        ranks = np.sort(np.take_along_axis(rank, own[near], axis=1).ravel())
-        self.visits = int(ranks[min(len(ranks) - 1, math.ceil(RECALL * len(ranks)))]) + 1 if len(ranks) else 1
+        # rank of the list that holds each true neighbour, over trial queries of each list
+        by_list = np.argsort(own, kind="stable")
+        starts = np.searchsorted(own[by_list], np.arange(len(self.centers)))
+        trials = by_list[np.arange(len(own)) - starts[own[by_list]] < TRIALS]
+        k, squares = min(k, len(learn) - 1), (learn * learn).sum(1)
+        self.visits = np.zeros(len(self.centers), np.int64)
+        ranks = np.zeros((len(trials), k), np.int64)
+        for a in range(0, len(trials) if k else 0, 256):
+            t = trials[a : a + 256]
+            far = squares - 2 * learn[t] @ learn.T
+            far[np.arange(len(t)), t] = np.inf
+            near = np.argpartition(far, k - 1, axis=1)[:, :k]
+            centers = self.to_centers(learn[t])
+            ranks[a : a + 256] = [(c[None, :] < c[own[n], None]).sum(1) for c, n in zip(centers, near)]
+        for one in np.unique(own):
+            mine = np.sort(ranks[own[trials] == one].ravel())
+            self.visits[one] = 1 + (mine[min(len(mine) - 1, math.ceil(RECALL * len(mine)))] if len(mine) else 0)
+        self.visits[self.visits == 0] = self.visits.max()
 
     def to_centers(self, x: np.ndarray) -> np.ndarray:
         return (self.centers * self.centers).sum(1) - 2 * x @ self.centers.T
@@ -95,9 +108,10 @@ def _route(shared):
         for batch in batches:
             if len(batch):
                 x = matrix(batch.column("embedding"))
-                lists = np.argsort(index.to_centers(x), axis=1)[:, : index.visits]
+                lists = np.argsort(index.to_centers(x), axis=1)
                 at, group, own = [], [], []
                 for k, row in enumerate(lists):
+                    row = row[: index.visits[row[0]]]
                     g = index.group[row]
                     for one in np.unique(g):
                         at.append(k)
