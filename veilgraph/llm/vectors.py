@@ -1,19 +1,34 @@
-"""Vectors: which take part, classes of equal ones, bounded samples, k-means."""
+"""Vectors: which take part, bounded samples, k-means."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose embedding is neither null nor zero and holds only finite numbers; of several lengths, those of the commonest."""
+def element_kind(vectors: DataFrame) -> str:
+    """The type vectors are shipped as: single precision stays, everything else becomes double."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return kind if kind in ("array<float>", "array<double>") else "array<double>"
+
+
+def takes_part() -> Column:
+    """Whether the embedding is neither null nor zero and holds only finite numbers; never null."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    return rows.where(F.size("embedding") == (lengths.n if lengths else 0))
+    return F.coalesce(F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """The rows that take part, with their length ``dim``. Negative zeros become zeros."""
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    return vectors.where(takes_part()).withColumn("embedding", plain).withColumn("dim", F.size("embedding"))
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """The distinct lengths, shortest first: one number for each."""
+    return sorted(r.dim for r in rows.select("dim").distinct().collect())
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -29,9 +44,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def by_hash() -> list[Column]:
+    """An order of classes that depends on nothing but their vectors."""
+    return [F.xxhash64("embedding"), F.col("embedding")]
+
+
 def sample(classes: DataFrame, n: int) -> np.ndarray:
-    """The vectors of the n nodes of least hash."""
-    return matrix(classes.orderBy(F.xxhash64("node"), "node").limit(n).select("embedding").toArrow().column(0))
+    """The n vectors of least hash."""
+    return matrix(classes.orderBy(*by_hash()).limit(n).select("embedding").toArrow().column(0))
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
