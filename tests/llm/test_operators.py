@@ -1,19 +1,16 @@
 import collections
 import hashlib
 import itertools
-import math
 import random
 import re
-import types
 import zlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from veilgraph.llm import ann, bpe_trie, common, embed_dedup, language, packing, pii, sharding, simhash, token_files, toxicity, wordbpe
+from veilgraph.llm import bpe_trie, common, language, packing, pii, sharding, simhash, token_files, toxicity, wordbpe
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [
@@ -263,115 +260,6 @@ def test_op5(spark, docs, none):
     assert language.predict(none, model, ["doc_id"]).count() == 0 and language.keeps(docs, model).columns == docs.columns
 
 
-@pytest.fixture(scope="module")
-def vectors(spark):
-    r = np.random.default_rng(1)
-    rows, n = [], 0
-    for label in (0, 1, None):
-        centers = r.normal(size=(25, 16))
-        for c in centers:
-            for _ in range(r.integers(1, 12)):
-                rows.append((n, [float(x) for x in np.float32(c + r.normal(size=16) * 0.12)], label, "x"))
-                n += 1
-    rows += [(n + k, rows[3][1], 0, "copy") for k in range(30)]
-    n += 30
-    rows += [(n, None, 0, ""), (n + 1, [0.0] * 16, 0, ""), (n + 2, [float("nan")] * 16, 0, ""), (n + 3, [1.0] * 3, 0, ""), (n + 4, [None] * 16, 1, "")]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string").repartition(3)
-
-
-def sound(v):
-    return v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)
-
-
-def test_op6(vectors):
-    rows = vectors.toPandas().sort_values("vec_id")
-    ok = [sound(v) for v in rows.embedding]
-    lab = rows.label.to_numpy()
-    u = np.array([np.array(v, float) / np.linalg.norm(v) if o else np.zeros(16) for v, o in zip(rows.embedding, ok)])
-    link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
-    np.fill_diagonal(link, False)
-    got = embed_dedup.near_duplicates(vectors).toPandas().sort_values("vec_id")
-    assert (got.n_links.to_numpy() <= link.sum(1)).all() and got.n_links.sum() >= 0.9 * link.sum()
-    if got.n_links.sum() == link.sum():
-        assert list(got.component_id) == least_reachable(len(rows), np.argwhere(link))
-    assert (got.kept == (got.vec_id == got.component_id)).all()
-    assert embed_dedup.near_duplicates(vectors.limit(0)).count() == 0
-
-
-def linked_pair(r, d, cosine):
-    """Two unit vectors at a cosine; their difference lies along one coordinate as far as it can."""
-    a = r.normal(size=d)
-    a /= np.linalg.norm(a)
-    b = np.eye(d)[r.integers(d)]
-    b -= a * (a @ b)
-    return a, cosine * a + math.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b)
-
-
-def links_of(spark, x):
-    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0})
-    return embed_dedup.near_duplicates(spark.createDataFrame(frame)).toPandas().sort_values("vec_id")
-
-
-def test_op6_links_beside_a_hot_group(spark):
-    r = np.random.default_rng(6)
-    hot = r.normal(size=16) + r.normal(size=(2000, 16)) * 1e-3
-    rest = [v for _ in range(1500) for v in linked_pair(r, 16, 0.935)]
-    x = np.concatenate([hot, rest])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = u @ u.T >= 0.93
-    np.fill_diagonal(link, False)
-    got = links_of(spark, x)
-    assert list(got.n_links) == list(link.sum(1))
-    pairs = [(0, k) for k in range(2000)] + [(a, b) for a, b in np.argwhere(link) if b >= 2000]  # the hot ones are all linked
-    assert link[:2000, :2000].sum() == 2000 * 1999 and list(got.component_id) == least_reachable(len(x), pairs)
-
-
-def test_op6_rare_links(spark):
-    r = np.random.default_rng(7)
-    x = np.concatenate([r.normal(size=(20_000, 20)), [v for _ in range(40) for v in linked_pair(r, 20, 0.931)]])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = np.concatenate([np.argwhere(u[k : k + 2000] @ u.T >= 0.93) + [k, 0] for k in range(0, len(u), 2000)])
-    link = link[link[:, 0] != link[:, 1]]
-    got = links_of(spark, x)
-    assert list(got.n_links) == list(np.bincount(link[:, 0], minlength=len(x))) and got.n_links.sum() >= 80
-    assert list(got.component_id) == least_reachable(len(x), link)
-
-
-def test_op8(vectors):
-    rows = vectors.toPandas().sort_values("vec_id")
-    rows = rows[[sound(v) for v in rows.embedding]]
-    x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
-    got = ann.search(vectors, vectors.where("vec_id % 20 = 0")).toPandas()
-    hit = total = 0
-    for q, g in got.groupby("query_id"):
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        g = g.sort_values("rank")
-        best = np.lexsort((ids, d))[:10]
-        hit, total = hit + len(set(ids[best]) & set(g.vec_id)), total + 10
-        assert list(g["rank"]) == list(range(1, 11)) and np.allclose(g.score, [d[ids == v][0] for v in g.vec_id]) and q not in set(g.vec_id)
-    assert hit >= 0.9 * total and set(got.query_id) == {i for i in ids if i % 20 == 0}
-    few = vectors.where("vec_id < 5")
-    assert ann.search(few, few).groupBy("query_id").count().where("count <> 4").count() == 0
-    assert ann.search(vectors.limit(0), vectors).count() == 0
-
-
-def test_op8_visits_of_a_hot_group():
-    r = np.random.default_rng(3)
-    c = r.normal(size=(200, 32))
-    hot = c[0] + r.normal(size=(10_000, 32)) * 0.02
-    x = np.concatenate([hot, c[r.integers(200, size=20_000)] + r.normal(size=(20_000, 32)) * 0.3])
-    index = ann.Index(x[r.permutation(len(x))[: ann.SAMPLE]], len(x), 10)
-    own = index.encode(x)[0]
-    for asked in (np.arange(0, 10_000, 100), np.arange(10_000, 30_000, 200)):
-        batch = pa.RecordBatch.from_arrays([pa.array(asked), pa.array(list(x[asked]))], names=["query_id", "embedding"])
-        visits = collections.defaultdict(set)
-        for q, lists in ((q, y) for b in ann._route(types.SimpleNamespace(value=index))([batch]) for q, y in zip(*(b.column(c).to_pylist() for c in ("query_id", "lists")))):
-            visits[q].update(lists)
-        near = [np.argsort(((x - x[q]) ** 2).sum(1))[1:11] for q in asked]
-        assert sum(own[n] in visits[q] for q, ns in zip(asked, near) for n in ns) >= 0.95 * 10 * len(asked)
-
-
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(300, 360)]
