@@ -5,7 +5,12 @@ suffix of the prefix and may follow the last token of what stands before it. A d
 tokens down, so a prefix that many words share is worked out once, and a word's ids are read back along its path.
 
 Whether token b may follow token a is decided by their merge histories: the pair splits only if no merge across
-their border comes due while both of its sides exist. A null text counts as empty. An empty table gives no rows.
+their border comes due while both of its sides exist. A prefix's last token is looked for among the characters that the longest token
+covers, so work and memory are linear in a word's length; a word of over LONG characters is a trie of one branch and is walked without nodes,
+nor is it remembered after its batch.
+
+A null text counts as empty; a null doc_id stays null. Repeated rows are answered each. Texts of any length go through whole. Extra columns
+are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +29,10 @@ from pyspark.sql import functions as F
 from . import wordbpe
 from .common import LONG, STRING, hold, schema, table
 
-#: Bounds of a worker's memory: words kept, border decisions kept, characters in one trie.
-WORDS, BORDERS, TRIE_CHARS = 700_000, 400_000, 400_000
+#: Bounds of a worker's memory: bytes of words kept (a word's strings and what holds them), border decisions kept, characters in one trie.
+BYTES, ENTRY, BORDERS, TRIE_CHARS = 280_000_000, 360, 400_000, 400_000
+#: Words longer than this are walked without a trie and not kept.
+LONG_WORD = 1024
 FOREVER = 1 << 60
 
 
@@ -53,6 +61,7 @@ class BpeTrie:
             for k in range(len(body)):
                 self.tails.setdefault(body[k:] + end, -1)
             self.tails[t] = self.vocab[t]
+        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.borders: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
 
@@ -86,10 +95,11 @@ class BpeTrie:
             self.borders[a, b] = got
         return got
 
-    def _last(self, path: str, last: list[int], end: str) -> tuple[int, int]:
-        """The last token of path + end and how many characters of path it covers. last[d]: the last token of path[:d]."""
-        tails, n = self.tails.get, len(path)
-        text = path + end
+    def _last(self, window: str, depth: int, last: Sequence[int], end: str) -> tuple[int, int]:
+        """The last token of a prefix + end and how many of its characters it covers. The prefix is ``depth`` characters long and ends in
+        ``window``, as many as a token can cover; last[d]: the last token of its first d characters."""
+        tails, n = self.tails.get, len(window)
+        text = window + end
         found = []
         for at in range(n - 1, -1, -1):
             if (i := tails(text[at:])) is None:
@@ -98,14 +108,33 @@ class BpeTrie:
         borders = self.borders.get
         for k in range(len(found), 0, -1):
             if (i := found[k - 1]) >= 0:
-                if k == n:
+                if k == depth:
                     return i, k
-                ok = borders((last[n - k], i))
-                if ok or ok is None and self.may_follow(last[n - k], i):
+                ok = borders((last[depth - k], i))
+                if ok or ok is None and self.may_follow(last[depth - k], i):
                     return i, k
         raise ValueError("no token ends this text")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def encode_long(self, word: str) -> Sequence[int]:
+        """One pre-token -> ids: a trie of a single branch."""
+        last, size, most = array("i", [-1]), array("H", [0]), self.longest
+        for d in range(1, len(word)):
+            t, k = self._last(word[max(0, d - most) : d], d, last, "")
+            last.append(t)
+            size.append(k)
+        t, k = self._last(word[-most:], len(word), last, self.suffix)
+        return self._back(t, len(word) - k, last, size)
+
+    @staticmethod
+    def _back(token: int, d: int, last: Sequence[int], size: Sequence[int]) -> Sequence[int]:
+        """The ids that end in ``token``, which stands behind d characters."""
+        ids = array("i", [token])
+        while d:
+            ids.append(last[d])
+            d -= size[d]
+        return ids[::-1]
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, Sequence[int]]:
         """Byte-level pre-tokens -> ids."""
         was = gc.isenabled()
         gc.disable()  # a trie has many small dicts and no cycles
@@ -115,7 +144,7 @@ class BpeTrie:
             if was:
                 gc.enable()
 
-    def _walk(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def _walk(self, words: Iterable[str]) -> dict[str, Sequence[int]]:
         root: dict = {}
         for w in words:
             node = root
@@ -124,29 +153,26 @@ class BpeTrie:
                     child = node[c] = {}
                 node = child
             node[""] = w
-        out: dict[str, list[int]] = {}
-        last, size = [-1], [0]
+        out: dict[str, Sequence[int]] = {}
+        last, size, most = [-1], [0], self.longest
         todo = [(root, "", 0)]
         while todo:
-            node, path, depth = todo.pop()
-            del last[depth + 1 :], size[depth + 1 :]
-            if "" in node:  # the whole word: its last character carries the suffix
-                t, k = self._last(path, last, self.suffix)
-                ids, d = [t], depth - k
-                while d:
-                    ids.append(last[d])
-                    d -= size[d]
-                out[path] = ids[::-1]
-            if depth:
-                # the parent wrote entries up to depth - 1; this prefix adds its own
-                del last[depth:], size[depth:]
-                if len(node) > ("" in node):
-                    t, k = self._last(path, last, "")
-                    last.append(t)
-                    size.append(k)
+            node, window, depth = todo.pop()
+            # the parent wrote entries up to depth - 1; this prefix adds its own
+            del last[depth:], size[depth:]
+            if not depth:
+                last, size = [-1], [0]
+            if (word := node.get("")) is not None:  # the whole word: its last character carries the suffix
+                t, k = self._last(window, depth, last, self.suffix)
+                out[word] = self._back(t, depth - k, last, size)
+            if depth and len(node) > (word is not None):
+                t, k = self._last(window, depth, last, "")
+                last.append(t)
+                size.append(k)
+            tail = window if len(window) < most else window[1:]
             for c, child in node.items():
                 if c:
-                    todo.append((child, path + c, depth + 1))
+                    todo.append((child, tail + c, depth + 1))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -159,6 +185,7 @@ class Rendered(dict):
     """pre-token (byte-level) -> number of ids, decimal ids, tokens' strings, the latter two joined by spaces."""
 
     def __init__(self, path: str):
+        self.bytes, self.passing = 0, []
         self.trie = BpeTrie(path)
         self.plain = wordbpe.WordIds(path)
         self.chars = wordbpe.byte_chars()
@@ -179,29 +206,42 @@ class Rendered(dict):
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORDS:
+        """Makes all of these words known; long ones of earlier calls, and all earlier words once they fill the memory, are forgotten."""
+        for w in self.passing:
+            del self[w]
+        self.passing = []
+        if self.bytes > BYTES:
             self.clear()
-            new = words
+            self.bytes = 0
         mapped: dict[str, str] = {}
         size = 0
-        for w in new:
+        for w in words:
+            if w in self:
+                continue
             if w[0] == "\0":
                 i = self.trie.added[w[1:]]
                 self[w] = (1, str(i).encode(), w[1:].encode())
                 continue
-            mapped[w] = w[1:] if w[0] == "\1" else w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
-            size += len(w)
+            m = w[1:] if w[0] == "\1" else w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
+            if len(m) > LONG_WORD:
+                self[w] = self._render(self.trie.encode_long(m))
+                self.passing.append(w)
+                continue
+            mapped[w] = m
+            size += len(m)
             if size >= TRIE_CHARS:
                 self._encode(mapped)
                 mapped, size = {}, 0
         self._encode(mapped)
 
+    def _render(self, ids: Sequence[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), " ".join(map(str, ids)).encode(), self.trie.decode(ids).encode()
+
     def _encode(self, mapped: dict[str, str]) -> None:
         ids = self.trie.encode_words(mapped.values())
         for w, m in mapped.items():
-            own = ids[m]
-            self[w] = (len(own), " ".join(map(str, own)).encode(), self.trie.decode(own).encode())
+            own = self[w] = self._render(ids[m])
+            self.bytes += ENTRY + len(w) + len(own[1]) + len(own[2])
 
 
 def _digests(path: str):
