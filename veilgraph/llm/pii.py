@@ -1,8 +1,11 @@
 """op9: personal data. Patterns propose spans, checksums confirm them, context words adjust their score.
 
-Kinds: email, ip, card (16 to 19 digits, Luhn) and phone are always reported once their own test holds. iban (mod-97)
-and ssn are reported when their score, raised by context words nearby, reaches a threshold. A null text counts as
-empty. An empty table gives no rows.
+Kinds: email, ip, card (16 to 19 digits, Luhn) and phone are always reported once their own test holds, with their score. iban (mod-97)
+and ssn are reported when their score reaches a threshold: words of the kind nearby raise it, words that name another sort of
+number (an order, a part, a version) lower it. So an IBAN stands unless its context speaks against it, a bare ddd-dd-dddd only if its context speaks for it.
+
+A null text counts as empty; a null doc_id stays null. Repeated rows are answered each. Extra columns are ignored. Texts of any length go through whole, in time
+linear in their length. Spans of one kind don't overlap; of different kinds they may. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from .common import LONG, STRING, release, schema, table
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
 THRESHOLD = 0.5
-#: Score of a span before its context, and words that raise it when within WINDOW characters.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+#: Score of a span before its context, words that raise it when within WINDOW characters, and words that lower any kind's.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "ssn": 0.3}
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -31,6 +34,7 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social", "security"),
 }
+CONTRARY = frozenset(("order", "invoice", "part", "serial", "version", "isbn", "sku", "tracking", "article", "release", "ticket", "example"))
 WINDOW, BOOST = 40, 0.3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,8 +105,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as listed in KINDS, then start. Offsets are code points, the end exclusive."""
     out = []
     for kind, a, b in _candidates(text or ""):
-        near = WORD.findall((text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW]).lower())
-        score = min(1.0, PRIOR[kind] + BOOST * any(w in CONTEXT[kind] for w in near))
+        near = set(WORD.findall((text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW]).lower()))
+        shift = (not near.isdisjoint(CONTEXT[kind])) - (not near.isdisjoint(CONTRARY))
+        score = round(min(1.0, max(0.0, PRIOR[kind] + BOOST * shift)), 2)
         if KINDS.index(kind) < BASE or score >= THRESHOLD:
             out.append((kind, a, b, score))
     return out
@@ -123,13 +128,14 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-OUT = schema(doc_id=LONG, n_email=LONG, n_ip=LONG, n_card=LONG, n_phone=LONG, base_sha256=STRING, spans=STRING)
+#: ``scores`` holds a score for each of ``spans``, in the same order.
+OUT = schema(doc_id=LONG, n_email=LONG, n_ip=LONG, n_card=LONG, n_phone=LONG, base_sha256=STRING, spans=STRING, scores=STRING)
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(7)]
         for text in batch.column("text"):
             spans = find_spans(text.as_py())
             for k in range(BASE):
@@ -137,7 +143,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans if k in KINDS[:BASE])
             cols[4].append(hashlib.sha256(base.encode()).hexdigest())
             cols[5].append(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans))
-        kinds = [pa.int64()] * BASE + [pa.string()] * 2
+            cols[6].append(",".join(str(s) for *_, s in spans))
+        kinds = [pa.int64()] * BASE + [pa.string()] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols, kinds)], names=OUT.names)
 
 
@@ -156,6 +163,5 @@ def redacted(text: Column) -> Column:
     return run(text)
 
 
-
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
