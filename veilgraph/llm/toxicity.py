@@ -5,8 +5,10 @@ scaled by log((1 + toxic texts with it) / all) - log((1 + other texts with it) /
 a logistic regression weighs them. Fitting uses a bounded sample of labelled rows and keeps the n-grams whose ratio
 stands out of chance. Scoring reads whole texts.
 
-Null and empty texts get the score of a text without features. If the labels hold only one class, or none, the score is
-that class's share (0 without labels). Of repeated labels for a document, toxic wins. An empty table gives no rows.
+Null and empty texts get the score of a text without features, and so does every text if no n-gram stands out (few labelled rows): as classes weigh alike that is one half, not
+toxic. If the labels hold only one class, or none, the score is that class's share (0 without labels). Of repeated labels for a document, toxic wins; of several texts under one
+labelled doc_id the smallest is learned from. Labels other than 0 and 1 are ignored. Repeated rows are answered each; a null doc_id isn't learned from and its held_out is null.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, INT, LONG, STRING, crc_mod, hold, release, schema, table
+from .common import DOUBLE, INT, LONG, STRING, crc_mod, hold, materialize, release, schema, table
 
 LENGTHS = (3, 4, 5)
-#: Fitting: at most so many labelled rows of each class, so many n-grams; least texts with an n-gram and least z-value of its ratio.
+#: Fitting, as defaults of ``fit``: at most so many labelled rows of each class, so many n-grams; least texts with an n-gram and least z-value of its ratio.
 SAMPLE_TOXIC, SAMPLE_OTHER, FEATURES, LEAST_TEXTS, LEAST_Z = 3000, 5000, 20_000, 5, 4.0
 STEPS, RIDGE = 300, 0.02
 CUT = 0.7
@@ -68,12 +70,12 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def sample_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic: at most SAMPLE_TOXIC and SAMPLE_OTHER labelled documents, those of least hash."""
+def sample_ids(docs: DataFrame, labels: DataFrame, most_toxic: int, most_other: int) -> DataFrame:
+    """doc_id, toxic: at most so many labelled documents of each class, those of least hash."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long")).agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.join(docs.where("text is not null").select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
     pick = lambda toxic, n: own.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return pick(1, SAMPLE_TOXIC).union(pick(0, SAMPLE_OTHER))
+    return pick(1, most_toxic).union(pick(0, most_other))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,28 +125,38 @@ def regress(rows: list[list[int]], toxic: np.ndarray, ratio: np.ndarray) -> tupl
     return w * ratio, b
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, toxic, text: one row for each of the ids."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def ratios(counts: DataFrame, n0: int, n1: int, features: int, least_texts: int, least_z: float) -> list:
+    """gram, ratio of at most ``features`` n-grams, the surest first. counts: gram, other, toxic, in parts."""
+    p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("other") + 1) / (n0 + 2)
+    ratio = F.log(p / q)
+    z = F.abs(ratio) / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("other") + 1))
+    return (
+        counts.groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+        .where(F.col("toxic") + F.col("other") >= least_texts).select("gram", ratio.alias("ratio"), z.alias("z"))
+        .where(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").limit(features).collect()
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most_other: int = SAMPLE_OTHER, features: int = FEATURES, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> Model:
     spark = docs.sparkSession
-    ids = sample_ids(docs, labels).collect()  # bounded by SAMPLE_TOXIC + SAMPLE_OTHER
+    ids = sample_ids(docs, labels, most_toxic, most_other).collect()  # bounded: labelled ids are distinct
     n1 = sum(r.toxic for r in ids)
     n0 = len(ids) - n1
     if not n1 or not n0:
         return Model({}, 700.0 if n1 else -700.0)
-    chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], schema(doc_id=LONG, toxic=INT)))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id")
-    rows = rows.repartition(max(6, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id"))
+    chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], schema(doc_id=LONG, toxic=INT))
+    rows = materialize(sampled(docs, chosen).repartition(max(6, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id")), "labelled")
     counts = rows.select("text", "toxic").mapInArrow(_count, schema(gram=STRING, other=LONG, toxic=LONG))
-    p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("other") + 1) / (n0 + 2)
-    ratio = F.log(p / q)
-    z = F.abs(ratio) / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("other") + 1))
-    kept = (
-        counts.groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") + F.col("other") >= LEAST_TEXTS).select("gram", ratio.alias("ratio"), z.alias("z"))
-        .where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "gram").limit(FEATURES).collect()
-    )
-    vocabulary, ratios = [r.gram for r in kept], np.array([r.ratio for r in kept])
+    kept = ratios(counts, n0, n1, features, least_texts, least_z)
+    vocabulary, scales = [r.gram for r in kept], np.array([r.ratio for r in kept])
     got = rows.select("doc_id", "toxic", "text").mapInArrow(_features(vocabulary), "doc_id long, toxic int, own array<int>").orderBy("doc_id").collect()
-    w, b = regress([r.own for r in got], np.array([r.toxic for r in got]), ratios)
+    w, b = regress([r.own for r in got], np.array([r.toxic for r in got]), scales)
     return Model(dict(zip(vocabulary, map(float, w))), float(b))
 
 
