@@ -1,12 +1,14 @@
 """op5: language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from its labelled texts. A text goes, in blocks, through each
-dictionary; the smallest total wins. The score is the relative gap to the runner-up; below ``MARGIN`` a text is
-rejected. Letters alone count: case is folded, everything else becomes a space. Every block starts with a
+Each language has a zstandard raw-content dictionary of passages from its labelled texts, as long as they are together. A text goes whole, in blocks, through each
+dictionary; the smallest total wins. The score is the relative gap to the runner-up; below the model's margin a text is
+rejected. The margin is a tenth (``LEEWAY``) of the least gap at which one of the calibration rows, labelled and not in a dictionary, was still decided rightly, so that
+of many more texts few clean ones fall below it, and ``MARGIN`` at least. Letters alone count: case is folded, everything else becomes a space. Every block starts with a
 run that always compresses, or short blocks would all be stored raw at equal size.
 
-Null texts and texts without a letter get ``und`` and score 0, and so does every text if no language was learned. Ties go to the
-language with more labelled rows, then the smaller name. An empty table gives no rows.
+Null texts and texts without a letter get ``und`` and score 0 and are rejected, and so is every text if no language was learned; with a single language every other text
+gets it at score 1. Ties go to the language with more labelled rows, then the smaller name. Repeated rows are answered each. A null doc_id isn't learned from (its held_out
+is null). There is a dictionary for each distinct lang, so their number must fit a worker. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import DOUBLE, LONG, STRING, crc_mod, hold, schema, table
+from .common import DOUBLE, LONG, STRING, crc_mod, hold, materialize, schema, table
 
-#: Fitting: so many labelled rows of a language, of each a window of so many characters at a place its id decides; dictionary bytes.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY = 128, 320, 32_768
+#: Fitting: so many labelled rows of a language, of each a passage of so many characters at a place its hash decides; calibration rows of a language.
+SAMPLE_ROWS, SAMPLE_CHARS, CALIBRATION = 128, 320, 64
 BLOCK, LEVEL, PAD = 2000, 12, b"\0" * 64
-MARGIN = 0.001
+MARGIN, LEEWAY = 0.001, 0.1
 UNDECIDED = "und"
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -36,10 +39,10 @@ def letters(text: str) -> bytes:
 
 
 class Model:
-    """Dictionaries in order of preference at ties."""
+    """Dictionaries in order of preference at ties, and the gap below which a text is rejected."""
 
-    def __init__(self, dictionaries: list[tuple[str, bytes]]):
-        self.dictionaries, self.key = dictionaries, uuid.uuid4().hex
+    def __init__(self, dictionaries: list[tuple[str, bytes]], margin: float = MARGIN):
+        self.dictionaries, self.margin, self.key = dictionaries, margin, uuid.uuid4().hex
 
     def compressors(self) -> list:
         out = []
@@ -50,17 +53,24 @@ class Model:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text, lang. At most SAMPLE_ROWS windows of SAMPLE_CHARS characters a language reach the driver."""
+    """labelled: doc_id, text, lang. Of a language at most SAMPLE_ROWS passages of SAMPLE_CHARS characters reach the driver, and CALIBRATION decisions."""
+    spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string"))
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
-    cut = rows.select("lang", "h", F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("cut"))
-    first = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "cut"))).where(f"k <= {SAMPLE_ROWS}").orderBy("lang", "k").collect()
+    cut = F.col("text").substr(at, F.lit(SAMPLE_CHARS))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    near = rows.withColumn("k", F.row_number().over(order)).where(f"k <= {SAMPLE_ROWS + CALIBRATION}")
+    near = materialize(near.select("lang", "k", cut.alias("cut"), F.when(F.col("k") > SAMPLE_ROWS, F.col("text")).alias("text")), "labelled")
+    first = near.where(f"k <= {SAMPLE_ROWS}").select("lang", "k", "cut").orderBy("lang", "k").collect()
     counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     cuts: dict[str, list[bytes]] = {}
     for r in first:
         cuts.setdefault(r["lang"], []).append(letters(r["cut"]))
     order = sorted((lang for lang, parts in cuts.items() if b"".join(parts).strip()), key=lambda x: (-counts[x], x))
-    return Model([(lang, b"".join(cuts[lang])[:DICTIONARY].rjust(8)) for lang in order])
+    model = Model([(lang, b"".join(cuts[lang]).rjust(8)) for lang in order])
+    tried = predict(near.where(f"k > {SAMPLE_ROWS}").repartition(spark.sparkContext.defaultParallelism), model, ["lang"]).collect()
+    right = [r.score for r in tried if r.lang_pred == r["lang"]]
+    return Model(model.dictionaries, max(MARGIN, min(right) * LEEWAY) if right and len(order) > 1 else MARGIN)
 
 
 def decide(model: Model, compressors: list, text: str | None) -> tuple[str, float]:
@@ -77,6 +87,10 @@ def decide(model: Model, compressors: list, text: str | None) -> tuple[str, floa
     return model.dictionaries[ranked[0]][0], gap
 
 
+def rejected(model: Model, lang: str, score: float) -> bool:
+    return lang == UNDECIDED or score < model.margin
+
+
 def ready(model: Model) -> list:
     """This worker's compressors of the model."""
     return hold(("language", model.key), model.compressors)
@@ -87,26 +101,27 @@ def _predict(shared):
         model = shared.value
         for batch in batches:
             got = [decide(model, ready(model), t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            out = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([rejected(model, *g) for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` with lang_pred and score."""
+    """The columns in ``keep`` with lang_pred, score and rejected."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("_judged"))
-    out = schema(**{f.name: f.dataType for f in rows.schema[:-1]}, lang_pred=STRING, score=DOUBLE)
+    out = schema(**{f.name: f.dataType for f in rows.schema[:-1]}, lang_pred=STRING, score=DOUBLE, rejected=T.BooleanType())
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), out)
 
 
-def keeps(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs whose language is decided by a margin; only the text goes to Python."""
+def keeps(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't rejected; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def decided(texts: pd.Series) -> pd.Series:
-        got = [decide(shared.value, ready(shared.value), t) for t in texts]
-        return pd.Series([lang != UNDECIDED and score >= margin for lang, score in got], dtype=bool)
+        model = shared.value
+        return pd.Series([not rejected(model, *decide(model, ready(model), t)) for t in texts], dtype=bool)
 
     return docs.where(decided(F.col("text").cast("string")))
 
