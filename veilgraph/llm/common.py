@@ -88,12 +88,12 @@ HOT_LEAST, SALTS = 1000, 64
 
 def attach(rows: DataFrame, right: DataFrame, keys: list[str], size: str, salt: str) -> DataFrame:
     """rows left-joined to right, whose keys are unique and whose column ``size`` counts a key's rows. A hot key's rows are
-    salted by the column ``salt``, and its entry on the right repeated; at most a thousand keys can be hot, so their list is broadcast."""
+    salted by the column ``salt`` and the task, and its entry on the right repeated; at most a thousand keys can be hot, so their list is broadcast."""
     total = right.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) > max(HOT_LEAST, total // 1000)
     hot = right.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
     own = rows.join(F.broadcast(hot), keys, "left")
-    own = own.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.lit("salt"), F.col(salt)), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    own = own.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.lit("salt"), F.col(salt), F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     each = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return own.join(right.withColumn("_salt", F.explode(each)).drop(size), [*keys, "_salt"], "left").drop("_salt")
 
