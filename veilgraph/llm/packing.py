@@ -5,7 +5,8 @@ length. Best-fit decreasing then runs over counts - at most ``capacity`` lengths
 grow with the documents - and gives, for a length and a range of ranks, sequences and offsets. Pieces take their
 slots by rank within length: the rank in the task that encoded it plus the counts of earlier tasks.
 
-Null and empty texts give a document of the end id alone. Repeated rows are packed each on its own. An empty table gives no rows.
+Null and empty texts give a document of the end id alone. Repeated rows are packed each on its own; a null doc_id stays null. Texts of any length go through
+whole and are cut only into pieces of the capacity. Ties between sequences of equal room go to those opened last. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

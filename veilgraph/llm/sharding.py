@@ -3,7 +3,8 @@
 A record goes to the shard with the greatest -weight / ln(u), u being a hash of (key, shard number) in (0, 1).
 Adding a shard changes no other shard's value, so records move only into the new one. The law is ``key``.
 
-A null key is a key like any other; equal keys share a shard. Null texts have no bytes. An empty table gives no rows.
+A null key is a key like any other; equal keys share a shard, so repeated rows do. Null texts have no bytes. Slots follow the order in which tasks read the
+rows. Texts count by their bytes and may be of any length. Extra columns stay in ``shard`` and are ignored by op4. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ that file), ``n_tokens`` and ``tokens`` (int list). Token ids are dictionary-enc
 vocabulary's size); ids, starts and counts are delta-encoded. Row groups and pages are small and pages carry
 min/max indexes, so a reader of one doc_id range or of metadata alone touches only those pages.
 
-Nulls and empty texts give a document of the end id alone. Documents of equal doc_id stand in text order,
-null doc_ids first. Extra columns are ignored. An empty table gives no rows.
+Nulls and empty texts give a document of the end id alone. Null doc_ids come first. Documents of equal doc_id stand in the order of their
+texts' hashes and, however many, are dealt to as many files as they fill: files are cut by doc_id, text hash and row, not by doc_id alone. Repeated
+rows stay documents. Texts of any length go through whole. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,10 +64,14 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str | None = No
     """Encode docs(doc_id, text) and write the token files under ``out``, sorted by doc_id within and across files."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", "hash", "row"]
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("hash", F.xxhash64("text"))
+        .withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(files, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(_encode(tokenizer_path or wordbpe.default_path(), end_id), FILE_SCHEMA)
         .write.options(**FILE_OPTIONS)
         .parquet(out)
