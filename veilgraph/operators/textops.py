@@ -1,21 +1,23 @@
 """Free text through a mapping: scrub (reals to pseudonyms), restore (back), point lookups, and v1's token sweep.
 
-The mapping goes to the workers as one compiled scanner; it is that of one collection, checked against ``LIMIT`` entries. Rows of text are independent.
+The mapping of one collection comes from a file that the driver holds; it goes to the workers as one broadcast scanner. Rows of text are independent.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pseudonyms import CATEGORIES, normalize
 
 EXACT = ("oids", "opaque")
-LIMIT = 2_000_000
 WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
@@ -23,7 +25,7 @@ class Scanner:
     """Finds the longest of many literals at a place, by length and first characters."""
 
     def __init__(self, literals, ignore_case: bool):
-        self.fold = (lambda s: s.lower()) if ignore_case else (lambda s: s)
+        self.fold = str.lower if ignore_case else str
         self.by_head: dict[str, dict[int, set[str]]] = {}
         for s in literals:
             s = self.fold(s)
@@ -115,27 +117,32 @@ class Text:
 
 
 def load(registry: DataFrame) -> Text:
-    rows = registry.select("category", "real", "pseudonym").orderBy("category", "norm").limit(LIMIT + 1).collect()
-    if len(rows) > LIMIT:
-        raise ValueError("the mapping is too large to scan text with; split the text by collection")
-    return Text([tuple(r) for r in rows])
+    return Text([tuple(r) for r in registry.select("category", "real", "pseudonym").orderBy("category", "norm").collect()])
+
+
+def _shared(own: Text):
+    return SparkSession.active().sparkContext.broadcast(own)
 
 
 def scrub(text: Column, own: Text) -> Column:
     """struct(text, counts map, unresolved)."""
+    shared = _shared(own)
 
     @F.pandas_udf("text string, counts map<string,long>, unresolved long")
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [own.scrub(t) if t is not None else (None, Counter(), 0) for t in texts]
+        scanner = shared.value
+        got = [scanner.scrub(t) if t is not None else (None, Counter(), 0) for t in texts]
         return pd.DataFrame({"text": [g[0] for g in got], "counts": [dict(g[1]) for g in got], "unresolved": [g[2] for g in got]})
 
     return run(text)
 
 
 def restore(text: Column, own: Text) -> Column:
+    shared = _shared(own)
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(own.restore, na_action="ignore")
+        return texts.map(shared.value.restore, na_action="ignore")
 
     return run(text)
 
@@ -147,39 +154,62 @@ def report(scrubbed: DataFrame, col: str = "scrubbed") -> DataFrame:
 
 # --- token sweep -------------------------------------------------------------------------------------------------
 
-# Characters that a case-insensitive match takes for another one, beyond case folding.
-SAME_IGNORING_CASE = {"I": "i", "\u0130": "i", "\u0131": "i", "\ufb06": "\ufb05"}
-#: These fold to several characters but stay one in a spelling.
-ONE_WIDE = ("\u0390", "\u03b0", "\ufb05")
+#: Beyond so many branches at a place, or places in a row, alternatives are written one after the other.
+BRANCHES, NESTED = 64, 64
 
 
-def signature(text: str) -> tuple[str, ...]:
-    """Characters as a case-insensitive match sees them, each folded on its own."""
-    return tuple(SAME_IGNORING_CASE.get(c, c).casefold() for c in text)
+@lru_cache(maxsize=1)
+def case_classes() -> dict[int, str]:
+    """For str.translate: each character that the regular expression engine takes for another one, ignoring case, to the one that stands for
+    all of them: one that folds to itself, else one in lower case, the least of several."""
+    cased = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if len({c, c.lower(), c.upper(), c.casefold()}) > 1)
+    known: dict[str, set[str]] = {}
+    for c in cased:
+        own = set(re.findall(re.escape(c), cased, re.I)) | {c}
+        for other in [*own]:
+            own |= known.get(other, set())
+        known.update(dict.fromkeys(own, own))
+    stands = {id(own): min(own, key=lambda c: (c.casefold() != c, c.lower() != c, c)) for own in known.values()}
+    return {ord(c): stands[id(own)] for c, own in known.items()}
 
 
 def one_spelling(text: str) -> str:
-    """The text with each character in one spelling of its own width."""
+    """The same for all texts that match each other character by character, ignoring case."""
+    return text.translate(case_classes())
 
-    def one(c: str) -> str:
-        c = SAME_IGNORING_CASE.get(c, c)
-        return c if c in ONE_WIDE else next((x for x in (c.casefold(), c.lower()) if len(x) == 1), c)
 
-    return "".join(map(one, text))
+def match_ignoring_case(a: str, b: str) -> bool:
+    """Whether one character matches another one."""
+    return one_spelling(a) == one_spelling(b)
+
+
+def signature(text: str) -> tuple[str, ...]:
+    """The one spelling's characters, each folded by itself."""
+    return tuple(c.casefold() for c in one_spelling(text))
 
 
 def distinct_ignoring_case(values: list[str]) -> list[str]:
-    """The first of each signature, in its one spelling."""
-    seen: dict[tuple[str, ...], str] = {}
-    for v in values:
-        seen.setdefault(signature(v), one_spelling(v))
-    return list(seen.values())
+    """Each text in its one spelling, at its first place."""
+    return list(dict.fromkeys(map(one_spelling, values)))
+
+
+def factored(words: list[str], level: int = 0) -> str:
+    """A pattern for any of the words, the first that fits; beginnings that several share are written once. Different characters must not match each other."""
+    head = os.path.commonprefix(words)
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[len(head) : len(head) + 1], []).append(w[len(head) :])
+    if len(words) < 2 or not any(rest):
+        return re.escape(head)
+    flat = len(rest) > BRANCHES or level >= NESTED
+    branches = [re.escape(w[len(head) :]) for w in words] if flat else [factored(own, level + 1) for own in rest.values()]
+    return f"{re.escape(head)}(?:{'|'.join(branches)})"
 
 
 def token_pattern(tokens: list[str]) -> re.Pattern | None:
     """Any of the tokens as a whole word, longest first."""
     own = distinct_ignoring_case(sorted((t for t in tokens if t), key=lambda t: (-len(t), t.casefold())))
-    return re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, own)) + r")(?![A-Za-z0-9_])", re.I) if own else None
+    return re.compile(f"(?<![A-Za-z0-9_])(?:{factored(own)})(?![A-Za-z0-9_])", re.I) if own else None
 
 
 def find_tokens(text: str, tokens: list[str]) -> set[str]:
@@ -190,7 +220,8 @@ def find_tokens(text: str, tokens: list[str]) -> set[str]:
 
 def sweep(text: str, replacements: dict[str, str]) -> str:
     """Tokens replaced; of two that differ in case only the first counts."""
-    pattern, own = token_pattern(list(replacements)), {}
+    own: dict[str, str] = {}
     for real, fake in replacements.items():
-        own.setdefault(signature(real), fake)
-    return pattern.sub(lambda m: own.get(signature(m[0]), m[0]), text) if pattern else text
+        own.setdefault(one_spelling(real), fake)
+    pattern = token_pattern(list(replacements))
+    return pattern.sub(lambda m: own.get(one_spelling(m[0]), m[0]), text) if pattern else text

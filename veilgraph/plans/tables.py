@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,91 +22,118 @@ OBJECT_TYPES = ("ADLocalGroup", "ADLocalUser", "AIACA", "Base", "CertTemplate",
 
 # Names whose value is secret.
 SECRETS = (
-    "cleartextpassword cpassword dbcspwd initialauthincoming initialauthoutgoing lmhash lmpwdhistory ms-mcs-admpwd msds-managedpassword msfve-keypackage "
-    "msfve-recoverypassword mslaps-encrypteddsrmpassword mslaps-encrypteddsrmpasswordhistory mslaps-encryptedpassword mslaps-encryptedpasswordhistory mslaps-password "
-    "nthash ntpwdhistory password pwd sfupassword supplementalcredentials trustauthincoming trustauthoutgoing unicodepassword unicodepwd unixpassword userpassword"
-).split()
+    "cleartextpassword", "cpassword", "dbcspwd", "initialauthincoming", "initialauthoutgoing", "lmhash", "lmpwdhistory", "ms-mcs-admpwd",
+    "msds-managedpassword", "msfve-keypackage", "msfve-recoverypassword", "mslaps-encrypteddsrmpassword", "mslaps-encrypteddsrmpasswordhistory",
+    "mslaps-encryptedpassword", "mslaps-encryptedpasswordhistory", "mslaps-password", "nthash", "ntpwdhistory", "password", "pwd", "sfupassword",
+    "supplementalcredentials", "trustauthincoming", "trustauthoutgoing", "unicodepassword", "unicodepwd", "unixpassword", "userpassword",
+)
 
 # Allowed schema values.
 RIGHTS = (
-    "AddAllowedToAct AddKeyCredentialLink AddMember AddSelf AllExtendedRights AllowedToAct AllowedToDelegate CoerceToTGT DumpSMSAPassword Enroll EnrollOnBehalfOf "
-    "ForceChangePassword GenericAll GenericRead GenericWrite GetChanges GetChangesAll GetChangesInFilteredSet GoldenCert ManageCA ManageCertificates ManageCertTemplates "
-    "Owns ReadGMSAPassword ReadLAPSPassword ReadMSAPassword SQLAdmin SyncLAPSPassword WriteAccountRestrictions WriteAltSecurityIdentities WriteDacl WriteGPLink WriteOwner "
-    "WritePKIEnrollmentFlag WritePKINameFlag WritePublicInformation WriteSPN"
-).split()
+    "AddAllowedToAct", "AddKeyCredentialLink", "AddMember", "AddSelf", "AllExtendedRights", "AllowedToAct", "AllowedToDelegate", "CoerceToTGT",
+    "DumpSMSAPassword", "Enroll", "EnrollOnBehalfOf", "ForceChangePassword", "GenericAll", "GenericRead", "GenericWrite", "GetChanges",
+    "GetChangesAll", "GetChangesInFilteredSet", "GoldenCert", "ManageCA", "ManageCertificates", "ManageCertTemplates", "Owns", "ReadGMSAPassword",
+    "ReadLAPSPassword", "ReadMSAPassword", "SQLAdmin", "SyncLAPSPassword", "WriteAccountRestrictions", "WriteAltSecurityIdentities", "WriteDacl",
+    "WriteGPLink", "WriteOwner", "WritePKIEnrollmentFlag", "WritePKINameFlag", "WritePublicInformation", "WriteSPN",
+)
 CA_RIGHTS = ("Enroll", "ManageCA", "ManageCertificates", "Owns")
 GPO_STATUSES = ("All Enabled", "All Settings Disabled", "Computer Configuration Disabled", "Computer Settings Disabled", "User Configuration Disabled", "User Settings Disabled")
 TRUST_DIRECTIONS = ("Bidirectional", "Disabled", "Inbound", "Outbound")
 TRUST_TYPES = ("CrossLink", "External", "Forest", "Kerberos", "ParentChild", "TreeRoot", "Unknown")
 GROUP_TYPES = ("Global", "DomainLocal", "Universal")
 ACCESS_TYPES = ("AccessAllowedCallback", "AccessDeniedCallback")
-# Operating systems; servers are the product of version and edition.
-CLIENT_SYSTEMS = {
-    "Windows 10": ("Education", "Enterprise", "Enterprise 2015 LTSB", "Enterprise 2016 LTSB", "Enterprise LTSC 2019", "Enterprise LTSC 2021", "Home", "IoT Enterprise", "Pro", "Pro Education", "Pro for Workstations"),
-    "Windows 11": ("Education", "Enterprise", "Home", "IoT Enterprise", "Pro", "Pro Education", "Pro for Workstations"),
-    "Windows 2000": ("Advanced Server", "Professional", "Server"),
-    "Windows 7": ("Enterprise", "Home Basic", "Home Premium", "Professional", "Ultimate"),
-    "Windows 8": ("", "Enterprise", "Pro"),
-    "Windows 8.1": ("", "Enterprise", "Pro"),
-    "Windows Vista": ("Business", "Enterprise", "Home Basic", "Home Premium", "Ultimate"),
-    "Windows XP": ("Professional", "Professional x64 Edition"),
-}
-SERVER_VERSIONS = ("2003", "2003 R2", "2008", "2008 R2", "2012", "2012 R2", "2016", "2019", "2022", "2025")
-SERVER_EDITIONS = ("", "Datacenter", "Datacenter Evaluation", "Enterprise", "Essentials", "Foundation", "Standard", "Standard Evaluation", "Web")
+# Operating systems.
 SYSTEMS = (
-    *(f"{name} {e}".rstrip() for name, es in CLIENT_SYSTEMS.items() for e in es),
-    "Windows Server",
-    *(f"Windows Server {v} {e}".rstrip() for v, e in product(SERVER_VERSIONS, SERVER_EDITIONS)),
-)
+    "Windows 10 Education", "Windows 10 Enterprise", "Windows 10 Enterprise 2015 LTSB", "Windows 10 Enterprise 2016 LTSB",
+    "Windows 10 Enterprise LTSC 2019", "Windows 10 Enterprise LTSC 2021", "Windows 10 Home", "Windows 10 IoT Enterprise", "Windows 10 Pro",
+    "Windows 10 Pro Education", "Windows 10 Pro for Workstations", "Windows 11 Education", "Windows 11 Enterprise", "Windows 11 Home",
+    "Windows 11 IoT Enterprise", "Windows 11 Pro", "Windows 11 Pro Education", "Windows 11 Pro for Workstations", "Windows 2000 Advanced Server",
+    "Windows 2000 Professional", "Windows 2000 Server", "Windows 7 Enterprise", "Windows 7 Home Basic", "Windows 7 Home Premium",
+    "Windows 7 Professional", "Windows 7 Ultimate", "Windows 8", "Windows 8 Enterprise", "Windows 8 Pro", "Windows 8.1", "Windows 8.1 Enterprise",
+    "Windows 8.1 Pro", "Windows Vista Business", "Windows Vista Enterprise", "Windows Vista Home Basic", "Windows Vista Home Premium",
+    "Windows Vista Ultimate", "Windows XP Professional", "Windows XP Professional x64 Edition", "Windows Server", "Windows Server 2003",
+    "Windows Server 2003 Datacenter", "Windows Server 2003 Datacenter Evaluation", "Windows Server 2003 Enterprise", "Windows Server 2003 Essentials",
+    "Windows Server 2003 Foundation", "Windows Server 2003 Standard", "Windows Server 2003 Standard Evaluation", "Windows Server 2003 Web",
+    "Windows Server 2003 R2", "Windows Server 2003 R2 Datacenter", "Windows Server 2003 R2 Datacenter Evaluation",
+    "Windows Server 2003 R2 Enterprise", "Windows Server 2003 R2 Essentials", "Windows Server 2003 R2 Foundation", "Windows Server 2003 R2 Standard",
+    "Windows Server 2003 R2 Standard Evaluation", "Windows Server 2003 R2 Web", "Windows Server 2008", "Windows Server 2008 Datacenter",
+    "Windows Server 2008 Datacenter Evaluation", "Windows Server 2008 Enterprise", "Windows Server 2008 Essentials", "Windows Server 2008 Foundation",
+    "Windows Server 2008 Standard", "Windows Server 2008 Standard Evaluation", "Windows Server 2008 Web", "Windows Server 2008 R2",
+    "Windows Server 2008 R2 Datacenter", "Windows Server 2008 R2 Datacenter Evaluation", "Windows Server 2008 R2 Enterprise",
+    "Windows Server 2008 R2 Essentials", "Windows Server 2008 R2 Foundation", "Windows Server 2008 R2 Standard",
+    "Windows Server 2008 R2 Standard Evaluation", "Windows Server 2008 R2 Web", "Windows Server 2012", "Windows Server 2012 Datacenter",
+    "Windows Server 2012 Datacenter Evaluation", "Windows Server 2012 Enterprise", "Windows Server 2012 Essentials", "Windows Server 2012 Foundation",
+    "Windows Server 2012 Standard", "Windows Server 2012 Standard Evaluation", "Windows Server 2012 Web", "Windows Server 2012 R2",
+    "Windows Server 2012 R2 Datacenter", "Windows Server 2012 R2 Datacenter Evaluation", "Windows Server 2012 R2 Enterprise",
+    "Windows Server 2012 R2 Essentials", "Windows Server 2012 R2 Foundation", "Windows Server 2012 R2 Standard",
+    "Windows Server 2012 R2 Standard Evaluation", "Windows Server 2012 R2 Web", "Windows Server 2016", "Windows Server 2016 Datacenter",
+    "Windows Server 2016 Datacenter Evaluation", "Windows Server 2016 Enterprise", "Windows Server 2016 Essentials", "Windows Server 2016 Foundation",
+    "Windows Server 2016 Standard", "Windows Server 2016 Standard Evaluation", "Windows Server 2016 Web", "Windows Server 2019",
+    "Windows Server 2019 Datacenter", "Windows Server 2019 Datacenter Evaluation", "Windows Server 2019 Enterprise", "Windows Server 2019 Essentials",
+    "Windows Server 2019 Foundation", "Windows Server 2019 Standard", "Windows Server 2019 Standard Evaluation", "Windows Server 2019 Web",
+    "Windows Server 2022", "Windows Server 2022 Datacenter", "Windows Server 2022 Datacenter Evaluation", "Windows Server 2022 Enterprise",
+    "Windows Server 2022 Essentials", "Windows Server 2022 Foundation", "Windows Server 2022 Standard", "Windows Server 2022 Standard Evaluation",
+    "Windows Server 2022 Web", "Windows Server 2025", "Windows Server 2025 Datacenter", "Windows Server 2025 Datacenter Evaluation",
+    "Windows Server 2025 Enterprise", "Windows Server 2025 Essentials", "Windows Server 2025 Foundation", "Windows Server 2025 Standard",
+    "Windows Server 2025 Standard Evaluation", "Windows Server 2025 Web",
+)
 
 # Paths by what they hold.
 SID_PATHS = (
-    "Aces[].PrincipalSID PrimaryGroupSID HasSIDHistory[] MemberOf[] Sessions.Results[].UserSID Sessions.Results[].ComputerSID PrivilegedSessions.Results[].UserSID "
-    "PrivilegedSessions.Results[].ComputerSID RegistrySessions.Results[].UserSID RegistrySessions.Results[].ComputerSID NtlmSessions.Result.Sessions[].AccountSid DomainSID "
-    "ForestRootIdentifier SPNTargets[].ComputerSID Properties.domainsid Properties.primarygroupsid Properties.objectsid Trusts[].TargetDomainSid "
-    "CARegistryData.CASecurity.Data[].PrincipalSID Properties.CARegistryData.CASecurity.Data[].PrincipalSID"
-).split()
+    "Aces[].PrincipalSID", "PrimaryGroupSID", "HasSIDHistory[]", "MemberOf[]", "Sessions.Results[].UserSID", "Sessions.Results[].ComputerSID",
+    "PrivilegedSessions.Results[].UserSID", "PrivilegedSessions.Results[].ComputerSID", "RegistrySessions.Results[].UserSID",
+    "RegistrySessions.Results[].ComputerSID", "NtlmSessions.Result.Sessions[].AccountSid", "DomainSID", "ForestRootIdentifier",
+    "SPNTargets[].ComputerSID", "Properties.domainsid", "Properties.primarygroupsid", "Properties.objectsid", "Trusts[].TargetDomainSid",
+    "CARegistryData.CASecurity.Data[].PrincipalSID", "Properties.CARegistryData.CASecurity.Data[].PrincipalSID",
+)
 IDENTIFIER_PATHS = (
-    "Members[].ObjectIdentifier ChildObjects[].ObjectIdentifier AllowedToDelegate[].ObjectIdentifier AllowedToAct[].ObjectIdentifier HasSIDHistory[].ObjectIdentifier "
-    "MemberOf[].ObjectIdentifier DumpSMSAPassword[].ObjectIdentifier LocalGroups[].ObjectIdentifier LocalGroups[].Results[].ObjectIdentifier HostingComputer "
-    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Agent.ObjectIdentifier CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Targets[].ObjectIdentifier "
-    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Template.ObjectIdentifier ContainedBy.ObjectIdentifier EnabledCertTemplates[].ObjectIdentifier "
-    "GPOChanges.AffectedComputers[].ObjectIdentifier GPOChanges.LocalAdmins[].ObjectIdentifier GPOChanges.RemoteDesktopUsers[].ObjectIdentifier "
-    "GPOChanges.DcomUsers[].ObjectIdentifier GPOChanges.PSRemoteUsers[].ObjectIdentifier GroupLink.ObjectIdentifier LocalGroups[].LocalNames[].ObjectId "
-    "UserRights[].Results[].ObjectIdentifier UserRights[].LocalNames[].ObjectId"
-).split()
+    "Members[].ObjectIdentifier", "ChildObjects[].ObjectIdentifier", "AllowedToDelegate[].ObjectIdentifier", "AllowedToAct[].ObjectIdentifier",
+    "HasSIDHistory[].ObjectIdentifier", "MemberOf[].ObjectIdentifier", "DumpSMSAPassword[].ObjectIdentifier", "LocalGroups[].ObjectIdentifier",
+    "LocalGroups[].Results[].ObjectIdentifier", "HostingComputer", "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Agent.ObjectIdentifier",
+    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Targets[].ObjectIdentifier",
+    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Template.ObjectIdentifier", "ContainedBy.ObjectIdentifier",
+    "EnabledCertTemplates[].ObjectIdentifier", "GPOChanges.AffectedComputers[].ObjectIdentifier", "GPOChanges.LocalAdmins[].ObjectIdentifier",
+    "GPOChanges.RemoteDesktopUsers[].ObjectIdentifier", "GPOChanges.DcomUsers[].ObjectIdentifier", "GPOChanges.PSRemoteUsers[].ObjectIdentifier",
+    "GroupLink.ObjectIdentifier", "LocalGroups[].LocalNames[].ObjectId", "UserRights[].Results[].ObjectIdentifier",
+    "UserRights[].LocalNames[].ObjectId",
+)
 SYSTEM_PATH = "Properties.operatingsystem"
 TEXT_PATHS = (
-    "Properties.profilepath Properties.homedirectory Properties.scriptpath Properties.logonscript Properties.gpcpath Properties.gpcfilesyspath Properties.url Properties.uri "
-    f"Properties.certchain[] Properties.certchain {SYSTEM_PATH} Properties.operatingsystemversion Properties.description Properties.displayname Properties.info Properties.title "
-    "NtlmSessions.Result.Sessions[].SourceIp NtlmSessions.Result.Sessions[].SourcePort NtlmSessions.Result.Sessions[].PackageName"
-).split()
+    "Properties.profilepath", "Properties.homedirectory", "Properties.scriptpath", "Properties.logonscript", "Properties.gpcpath",
+    "Properties.gpcfilesyspath", "Properties.url", "Properties.uri", "Properties.certchain[]", "Properties.certchain", "Properties.operatingsystem",
+    "Properties.operatingsystemversion", "Properties.description", "Properties.displayname", "Properties.info", "Properties.title",
+    "NtlmSessions.Result.Sessions[].SourceIp", "NtlmSessions.Result.Sessions[].SourcePort", "NtlmSessions.Result.Sessions[].PackageName",
+)
 REASON_PATHS = ("Sessions.FailureReason", "PrivilegedSessions.FailureReason", "RegistrySessions.FailureReason", "LocalGroups[].FailureReason", "UserRights[].FailureReason")
 OID_PATHS = (
-    "Properties.oid Properties.ekus[] Properties.applicationpolicies[] Properties.certificateapplicationpolicy[] Properties.certificatepolicies[] Properties.certificatepolicy[] "
-    "Properties.effectiveekus[] Properties.issuancepolicies[]"
-).split()
+    "Properties.oid", "Properties.ekus[]", "Properties.applicationpolicies[]", "Properties.certificateapplicationpolicy[]",
+    "Properties.certificatepolicies[]", "Properties.certificatepolicy[]", "Properties.effectiveekus[]", "Properties.issuancepolicies[]",
+)
 GUID_PATHS = ("Properties.objectguid", "Properties.wkguid", "Links[].GUID", "Aces[].RightGuid")
 TYPE_PATHS = (
-    "Members[].ObjectType ChildObjects[].ObjectType AllowedToDelegate[].ObjectType AllowedToAct[].ObjectType HasSIDHistory[].ObjectType MemberOf[].ObjectType "
-    "DumpSMSAPassword[].ObjectType LocalGroups[].Results[].ObjectType Aces[].PrincipalType CARegistryData.CASecurity.Data[].PrincipalType "
-    "Properties.CARegistryData.CASecurity.Data[].PrincipalType CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Agent.ObjectType "
-    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Targets[].ObjectType CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Template.ObjectType "
-    "ContainedBy.ObjectType EnabledCertTemplates[].ObjectType GPOChanges.AffectedComputers[].ObjectType GPOChanges.LocalAdmins[].ObjectType "
-    "GPOChanges.RemoteDesktopUsers[].ObjectType GPOChanges.DcomUsers[].ObjectType GPOChanges.PSRemoteUsers[].ObjectType GroupLink.ObjectType UserRights[].Results[].ObjectType"
-).split()
+    "Members[].ObjectType", "ChildObjects[].ObjectType", "AllowedToDelegate[].ObjectType", "AllowedToAct[].ObjectType", "HasSIDHistory[].ObjectType",
+    "MemberOf[].ObjectType", "DumpSMSAPassword[].ObjectType", "LocalGroups[].Results[].ObjectType", "Aces[].PrincipalType",
+    "CARegistryData.CASecurity.Data[].PrincipalType", "Properties.CARegistryData.CASecurity.Data[].PrincipalType",
+    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Agent.ObjectType",
+    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Targets[].ObjectType",
+    "CARegistryData.EnrollmentAgentRestrictions.Restrictions[].Template.ObjectType", "ContainedBy.ObjectType", "EnabledCertTemplates[].ObjectType",
+    "GPOChanges.AffectedComputers[].ObjectType", "GPOChanges.LocalAdmins[].ObjectType", "GPOChanges.RemoteDesktopUsers[].ObjectType",
+    "GPOChanges.DcomUsers[].ObjectType", "GPOChanges.PSRemoteUsers[].ObjectType", "GroupLink.ObjectType", "UserRights[].Results[].ObjectType",
+)
 NUMBER_PATHS = (
-    "meta.version meta.count meta.methods Properties.admincount Properties.authorizedsignatures Properties.basicconstraintpathlength Properties.flags Properties.lastlogon "
-    "Properties.lastlogontimestamp Properties.lockoutobservationwindow Properties.lockoutthreshold Properties.machineaccountquota Properties.minpwdlength "
-    "Properties.pwdhistorylength Properties.pwdlastset Properties.pwdproperties Properties.samaccounttype Properties.schemaversion Properties.useraccountcontrol "
-    "Properties.whencreated Properties.whenchanged SPNTargets[].Port"
-).split()
+    "meta.version", "meta.count", "meta.methods", "Properties.admincount", "Properties.authorizedsignatures", "Properties.basicconstraintpathlength",
+    "Properties.flags", "Properties.lastlogon", "Properties.lastlogontimestamp", "Properties.lockoutobservationwindow", "Properties.lockoutthreshold",
+    "Properties.machineaccountquota", "Properties.minpwdlength", "Properties.pwdhistorylength", "Properties.pwdlastset", "Properties.pwdproperties",
+    "Properties.samaccounttype", "Properties.schemaversion", "Properties.useraccountcontrol", "Properties.whencreated", "Properties.whenchanged",
+    "SPNTargets[].Port",
+)
 FLAG_PATHS = (
-    "Properties.enabled Properties.hasspn Properties.highvalue Properties.isaclprotected Properties.isdc Properties.owned Properties.passwordnotreqd Properties.pwdneverexpires "
-    "Properties.sensitive Properties.smartcardrequired Properties.trustedtoauth Properties.unconstraineddelegation Links[].IsEnforced Aces[].IsInherited "
-    "Trusts[].SidFilteringEnabled Trusts[].IsTransitive Sessions.Collected PrivilegedSessions.Collected RegistrySessions.Collected LocalGroups[].Collected "
-    "UserRights[].Collected IsDeleted IsACLProtected"
-).split()
+    "Properties.enabled", "Properties.hasspn", "Properties.highvalue", "Properties.isaclprotected", "Properties.isdc", "Properties.owned",
+    "Properties.passwordnotreqd", "Properties.pwdneverexpires", "Properties.sensitive", "Properties.smartcardrequired", "Properties.trustedtoauth",
+    "Properties.unconstraineddelegation", "Links[].IsEnforced", "Aces[].IsInherited", "Trusts[].SidFilteringEnabled", "Trusts[].IsTransitive",
+    "Sessions.Collected", "PrivilegedSessions.Collected", "RegistrySessions.Collected", "LocalGroups[].Collected", "UserRights[].Collected",
+    "IsDeleted", "IsACLProtected",
+)
 ALIAS_PATHS = ("Properties.gPCFileSysPath",)
 # Single rules - id, path, operation, namespace, allowed values, node type.
 SINGLE_RULES = (
@@ -186,7 +212,10 @@ SID_NAMES = {
     "S-1-5-32-579": "Access Control Assistance Operators", "S-1-5-32-581": "System Managed Accounts Group", "S-1-5-32-583": "Device Owners", "S-1-5-113": "Local account",
     "S-1-5-114": "Local account and member of Administrators group",
 }
-FEATURE_SIDS = tuple(f"S-1-5-32-{n}" for n in (553, 557, 561, 568, 569, 574, 575, 576, 577, 578, 580, 582, 585))
+FEATURE_SIDS = (
+    "S-1-5-32-553", "S-1-5-32-557", "S-1-5-32-561", "S-1-5-32-568", "S-1-5-32-569", "S-1-5-32-574", "S-1-5-32-575", "S-1-5-32-576", "S-1-5-32-577",
+    "S-1-5-32-578", "S-1-5-32-580", "S-1-5-32-582", "S-1-5-32-585",
+)
 UNNAMED_SIDS = ("S-1-5-32-584",)
 RIDS = {
     500: ("Administrator", "User"), 501: ("Guest", "User"), 502: ("krbtgt", "User"), 512: ("Domain Admins", "Group"), 513: ("Domain Users", "Group"), 514: ("Domain Guests", "Group"),
