@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,11 @@ def audit(contexts: DataFrame, decided: DataFrame, leaves: DataFrame, numbers: D
 def _lookup(record):
     from ..functions import paths
 
-    return F.udf(paths.canonical)(record)
+    @F.pandas_udf("string")
+    def run(records: pd.Series) -> pd.Series:
+        return records.map({r: paths.canonical(r) for r in records.unique()})
+
+    return run(record)
 
 
 def summary(counts: DataFrame) -> dict:
@@ -51,11 +56,17 @@ def top(counts: DataFrame, n: int = 20) -> DataFrame:
     return counts.where("section = 'unknown_paths'").orderBy(F.desc("n"), "item").limit(n)
 
 
+def skipped(members: DataFrame, objects: DataFrame) -> DataFrame:
+    """Members that are no collection documents, in order."""
+    return members.select("member").join(objects.where("part = 0").select("member"), "member", "left_anti").orderBy("member")
+
+
 def type_rows(objects: DataFrame) -> DataFrame:
-    """Objects by collection type."""
+    """Objects by collection type and version."""
     from .classify import node_type
 
-    return objects.where("part = 0").groupBy("meta_type", node_type(F.col("meta_type")).alias("node_type")).agg(F.sum("items").alias("objects"), F.count("*").alias("members")).orderBy("meta_type")
+    version = F.get_json_object("body", "$.version").alias("version")
+    return objects.where("part = 0").groupBy("meta_type", node_type(F.col("meta_type")).alias("node_type"), version).agg(F.sum("items").alias("objects"), F.count("*").alias("members")).orderBy("meta_type", "version")
 
 
 def duplicate_types(objects: DataFrame) -> DataFrame:

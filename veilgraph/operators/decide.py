@@ -12,6 +12,7 @@ from ..plans import tables
 from ..plans.tables import Config
 
 NAME_AT = ("properties.name", "properties.templatename")
+FEW_RIDS, SALTS = 100_000, 16
 
 
 @dataclass
@@ -136,11 +137,22 @@ def gather(contexts: DataFrame, resolved: DataFrame, config: Config) -> Evidence
     return Evidence(rids, templates)
 
 
+def with_evidence(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """_rid: the entry that the value's SID is evidence of. Evidence of up to FEW_RIDS rows is broadcast; more of it is joined with each SID in SALTS copies, as
+    a domain's groups stand at a large share of all leaves, and leaves without a SID are spread."""
+    sid, entry = F.upper(inner_sid(F.col("token"))), F.col("entry_id").alias("_rid")
+    if rids.count() <= FEW_RIDS:
+        return rows.withColumn("_sid", sid).join(F.broadcast(rids.select(F.col("sid").alias("_sid"), entry)), "_sid", "left").drop("_sid")
+    at = F.xxhash64("member", "record")
+    key = F.when(sid.rlike(r"\AS-1-"), sid).otherwise(F.concat(F.lit("#"), F.pmod(at, F.lit(4096)).cast("string")))
+    salted = rids.select(F.col("sid").alias("_sid"), entry, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_sid", key).withColumn("_salt", F.pmod(at, F.lit(SALTS)).cast("int")).join(salted, ["_sid", "_salt"], "left").drop("_sid", "_salt")
+
+
 def decide(resolved: DataFrame, evidence: Evidence) -> DataFrame:
     """resolved with evidence applied, and form, arg, keep: how the value is replaced."""
     v, op, ns = F.col("token"), F.col("operation"), F.col("namespace")
-    rows = template_candidate(resolved).withColumn("_sid", F.upper(inner_sid(v)))
-    rows = rows.join(evidence.rids.select(F.col("sid").alias("_sid"), F.col("entry_id").alias("_rid")), "_sid", "left").drop("_sid")
+    rows = with_evidence(template_candidate(resolved), evidence.rids)
     targets = F.broadcast(evidence.templates)  # at most one row for each built-in template
     rows = rows.withColumn("_k", fold(F.coalesce("identity", "token"))).join(targets.select(F.col("folded").alias("_k"), "source", F.col("entry_id").alias("_target")), "_k", "left").drop("_k")
     replay = F.col("_rid").isNotNull() & op.isin("map_custom_identifier", "map_reference") & ns.isin("sids", "identifiers", "sids_preserve_rid")

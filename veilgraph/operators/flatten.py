@@ -15,7 +15,8 @@ from ..functions import jsontext, paths, pseudonyms
 OBJECTS = "member string, part int, idx long, key string, meta_type string, declared string, items long, object_identifier string, wkguid string, templatename string, name string, body string"
 CONTEXT = "member string, part int, idx long, node_type string, object_identifier string, privacy string, catalog_rule_id string"
 LEAVES = f"{CONTEXT}, ord long, kind string, token string, path string, canonical string, record string, steps string, ref_type string"
-META, DATA, REST = 0, 1, 2
+#: A row with part REFUSED says in ``name`` why its member can't be taken; the driver raises it.
+REFUSED, META, DATA, REST = -1, 0, 1, 2
 
 
 def document(raw: bytes) -> dict | None:
@@ -46,14 +47,15 @@ def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [(member, META, 0, "meta", kind, declared, items, None, None, None, None, jsontext.dumps(doc["meta"]))]
             for k, item in enumerate(doc["data"]):
                 if not isinstance(item, dict):
-                    raise ValueError(f"data item {k} is not an object")
+                    rows = [(member, REFUSED, k, None, kind, None, 0, None, None, None, f"data item {k} is not an object", "null")]
+                    break
                 own = item.get("Properties")
                 own = own if isinstance(own, dict) else {}
                 rows.append((member, DATA, k, None, kind, None, 0, _text(item.get("ObjectIdentifier")), _text(own.get("wkguid")), _text(own.get("templatename")), _text(own.get("name")), jsontext.dumps(item)))
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
-            extra = [(k, v) for k, v in doc.items() if k not in ("meta", "data")]
+            extra = [] if rows and rows[0][1] == REFUSED else [(k, v) for k, v in doc.items() if k not in ("meta", "data")]
             rows += [(member, REST, k, key, kind, None, 0, None, None, None, None, jsontext.dumps(v)) for k, (key, v) in enumerate(extra)]
             yield pd.DataFrame(rows, columns=names)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from dataclasses import dataclass
+from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,20 +54,81 @@ def frozen(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@dataclass
 class Run:
-    """All tables of a run."""
-
-    members: DataFrame
-    contexts: DataFrame
-    leaves: DataFrame
-    decided: DataFrame
-    numbers: DataFrame
-    values: DataFrame
-    registry: DataFrame
-    records: DataFrame
-    output: DataFrame
-    findings: DataFrame
+    """All tables of a run. Each is worked out when it is first asked for, and written if later ones read it again; an audit needs no replacement."""
+
+    def __init__(self, members: DataFrame, salt: str, config: Config, reuse: dict | None, own_rules: list[tables.Rule] | None):
+        self.members, self.salt, self.config, self.reuse = members, salt, config, reuse
+        self.owned = {(c, pseudonyms.normalize(c, r)): p for c, m in (reuse or {}).get("categories", {}).items() for r, p in m.items()}
+        self.keys = {r: p for (c, r), p in self.owned.items() if c == "opaque"}
+        self.rules = own_rules or tables.rules(config)
+        tables.check_rules(self.rules)
+        self.known = tables.known_prefixes(self.rules)
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        got = frozen(classify.contexts(flatten.objects(self.members)), "objects")
+        refused = got.where(F.col("part") == flatten.REFUSED).select("member", "name").first()
+        if refused:
+            raise collection.CollectionError(f"{refused.member}: {refused.name}")
+        return got
+
+    @cached_property
+    def leaves(self) -> DataFrame:
+        return frozen(self._walked(), "leaves")
+
+    def _walked(self) -> DataFrame:
+        return flatten.leaves(self.contexts, self.known, self.salt, self.keys)
+
+    @cached_property
+    def evidence(self) -> decide.Evidence:
+        got = decide.gather(self.contexts, decide.resolve(self.leaves, self.config, self.rules), self.config)
+        return decide.Evidence(frozen(got.rids, "rids"), frozen(got.templates, "templates"))
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        return frozen(decide.decide(decide.resolve(self.leaves, self.config, self.rules), self.evidence), "decided")
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return decide.numbers(self.leaves, self.config, self.rules)
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return frozen(mapping.replacements(mapping.distinct_values(self.decided), self.salt, self.owned), "values")
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        found = mapping.identities(self.values).unionByName(mapping.key_identities(self.leaves, self.salt, self.keys))
+        if self.reuse:
+            saved = mapping.from_map(self.members.sparkSession, self.reuse)
+            found = found.unionByName(saved.select("category", "real", "norm", "pseudonym", "pseudonym_norm"))
+        return frozen(mapping.registry(found), "registry")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("form", "token", "arg", "keep")]
+        return frozen(self.decided.alias("d").join(self.values.alias("v"), same).select("d.*", "v.output"), "records")
+
+    @cached_property
+    def output(self) -> DataFrame:
+        nodes = ["member", "part", "idx", "record", "ord", "steps", "kind"]
+        out = (
+            self.records.select(*nodes, F.col("output").alias("token")).unionByName(self.numbers.select(*nodes, F.col("out").alias("token")))
+            .unionByName(self.leaves.where("kind in ('mapping', 'list')").select(*nodes, "token"))
+        )
+        return frozen(flatten.implode(out), "output")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """The output is read again, the source walked and decided again."""
+        written = self.output.withColumn("key", F.when(F.col("part") == flatten.META, "meta").when(F.col("part") == flatten.REST, _root_key(F.col("record"))))
+        context = self.contexts.select("member", "part", "idx", "node_type", "object_identifier", "privacy", "catalog_rule_id")
+        again = flatten.leaves(written.drop("record").join(context, ["member", "part", "idx"]), {}, None)
+        fresh = frozen(decide.decide(decide.resolve(self._walked(), self.config, self.rules), self.evidence), "decided")
+        records = self.records.select("member", "record", "token", "output", *verify.JUDGED)
+        gate = verify.findings(self.leaves, again, fresh, self.numbers, self.registry, records, self.salt, frozen)
+        return frozen(gate.unionByName(verify.shape_findings(self.contexts)).unionByName(verify.evidence_findings(self.evidence, self.salt)), "findings")
 
     def documents(self) -> DataFrame:
         return flatten.documents(self.output)
@@ -81,46 +143,17 @@ def transform(members: DataFrame, salt: str, config: Config = Config(), reuse: d
     Two passes, as evidence is collection-wide: decisions of all leaves come before any replacement. Distinct identities, and source against output, are
     the shuffles; rule and catalog tables are small and of fixed size, so they are broadcast.
     """
-    owned = {(c, pseudonyms.normalize(c, r)): p for c, m in (reuse or {}).get("categories", {}).items() for r, p in m.items()}
-    keys = {r: p for (c, r), p in owned.items() if c == "opaque"}
-    rules = own_rules or tables.rules(config)
-    tables.check_rules(rules)
-    known = tables.known_prefixes(rules)
-    objects = classify.contexts(flatten.objects(members))
-    contexts = frozen(objects, "objects")
-    leaves = frozen(flatten.leaves(contexts, known, salt, keys), "leaves")
-    resolved = decide.resolve(leaves, config, rules)
-    evidence = decide.gather(contexts, resolved, config)
-    evidence = decide.Evidence(frozen(evidence.rids, "rids"), frozen(evidence.templates, "templates"))
-    decided = frozen(decide.decide(resolved, evidence), "decided")
-    numbers = decide.numbers(leaves, config, rules)
-    values = frozen(mapping.replacements(mapping.distinct_values(decided), salt, owned), "values")
-    found = mapping.identities(values).unionByName(mapping.key_identities(leaves, salt, keys))
-    if reuse:
-        saved = mapping.from_map(members.sparkSession, reuse)
-        found = found.unionByName(saved.select("category", "real", "norm", "pseudonym", "pseudonym_norm"))
-    registry = frozen(mapping.registry(found), "registry")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("form", "token", "arg", "keep")]
-    records = decided.alias("d").join(values.alias("v"), same).select("d.*", "v.output")
-    nodes = ["member", "part", "idx", "record", "ord", "steps", "kind"]
-    out = (
-        records.select(*nodes, F.col("output").alias("token")).unionByName(numbers.select(*nodes, F.col("out").alias("token")))
-        .unionByName(leaves.where("kind in ('mapping', 'list')").select(*nodes, "token"))
-    )
-    output = frozen(flatten.implode(out), "output")
-    written = output.withColumn("key", F.when(F.col("part") == flatten.META, "meta").when(F.col("part") == flatten.REST, _root_key(F.col("record"))))
-    context = contexts.select("member", "part", "idx", "node_type", "object_identifier", "privacy", "catalog_rule_id")
-    again = flatten.leaves(written.drop("record").join(context, ["member", "part", "idx"]), {}, None)
-    fresh = decide.decide(decide.resolve(flatten.leaves(contexts, known, salt, keys), config, rules), evidence)
-    gate = verify.findings(leaves, again, fresh, numbers, registry, records.select("member", "record", "token", "output"), salt)
-    gate = gate.unionByName(verify.shape_findings(contexts))
-    return Run(members, contexts, leaves, decided, numbers, values, registry, records, output, gate)
+    return Run(members, salt, config, reuse, own_rules)
 
 
 def _root_key(record):
     from ..functions import paths
 
-    return F.udf(lambda p: paths.steps(p)[0])(record)
+    @F.pandas_udf("string")
+    def run(records: pd.Series) -> pd.Series:
+        return records.map(lambda p: paths.steps(p)[0], na_action="ignore")
+
+    return run(record)
 
 
 def policy(config: Config) -> dict:
@@ -137,12 +170,12 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
         raise collection.CollectionError("no member is a collection document")
     mapping.check_reuse(run.registry, saved or {})
     before = mapping.fingerprint(run.registry)
-    found = frozen(run.findings, "findings")
+    found = run.findings
     if not found.isEmpty():
         raise LeakError(f"verification failed: {[tuple(r) for r in verify.by_gate(found).limit(50).collect()]}", found)
     if mapping.fingerprint(run.registry) != before:
         raise LeakError("verification failed: registry-state-changed")
-    text = publish.mapping_text(run.registry, salt, collection.input_hash(run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
+    text = publish.mapping_text(run.registry, salt, collection.source_hash(spark, source, run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
     rows = run.documents().orderBy("member").toLocalIterator()  # at most MAX_MEMBERS files
     publish.publish(((r.member, r.body) for r in rows), out, (mapping_path, text) if mapping_path else None)
     return audit.summary(run.audit())
@@ -153,11 +186,13 @@ def inspect(spark: SparkSession, source: str, config: Config = Config(), salt: s
     members = collection.read_members(spark, source)
     run = transform(members, salt or publish.new_salt(), config)
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  small reports
+    counts = frozen(run.audit(), "audit")
     return {
         "schema_version": 1, "members": members.count(), "accepted": run.contexts.where("part = 0").count(), "objects": run.contexts.where("part = 1").count(),
         "types": rows(audit.type_rows(run.contexts)), "duplicate_types": rows(audit.duplicate_types(run.contexts)), "missing_types": rows(audit.missing_types(run.contexts)),
-        "wrong_counts": rows(audit.wrong_counts(run.contexts)), "identities": rows(mapping.category_counts(run.registry)), "audit": audit.summary(run.audit()),
-        "findings": rows(verify.by_gate(run.findings)),
+        "wrong_counts": rows(audit.wrong_counts(run.contexts)), "identities": rows(mapping.category_counts(run.registry)), "audit": audit.summary(counts),
+        "skipped": rows(audit.skipped(members, run.contexts)), "top_unknown_paths": rows(audit.top(counts).select("item", "n")),
+        "more_unknown_paths": max(0, counts.where("section = 'unknown_paths'").count() - 20), "findings": rows(verify.by_gate(run.findings)),
     }
 
 

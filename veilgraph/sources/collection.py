@@ -7,6 +7,7 @@ file names go no further. Limits are checked before contents are read where the
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 MAX_MEMBERS, MAX_MEMBER, MAX_TOTAL = 10_000, 512 << 20, 2 << 30
 SIGNATURES = (b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x07\x08")
-MEMBERS = "name string, ord long, raw binary"
+MEMBERS = "name string, ord long, raw binary, refused string"
 
 
 class CollectionError(ValueError):
@@ -42,45 +43,50 @@ def latest_by_name(rows: DataFrame) -> DataFrame:
     return got.select("name", "ord", *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def zip_entries(raw: bytes) -> list[tuple[str, int, bytes]]:
-    """(name, place, bytes) of an archive's JSON members; at most the declared size is inflated of each."""
+def over_limits(n, most, total):
+    """Whether so many members, with the largest and all together of so many bytes, are refused; numbers or columns."""
+    return (n > MAX_MEMBERS) | (most > MAX_MEMBER) | (total > MAX_TOTAL)
+
+
+def zip_entries(raw: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """(name, place, bytes) of an archive's JSON members, one by one; at most the declared size is inflated of each."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(raw))
-    except zipfile.BadZipFile as e:
+    except (zipfile.BadZipFile, ValueError, struct.error) as e:
         raise CollectionError("File is not a zip file") from e
     own = [i for i in archive.infolist() if not i.is_dir() and i.filename.lower().endswith(".json")]
-    if len(own) > MAX_MEMBERS or any(i.file_size > MAX_MEMBER for i in own) or sum(i.file_size for i in own) > MAX_TOTAL:
+    if over_limits(len(own), max((i.file_size for i in own), default=0), sum(i.file_size for i in own)):
         raise CollectionError("archive exceeds the limits on members or sizes")
     if any(unsafe_name(i.filename) for i in own):
         raise CollectionError("archive holds an unsafe member name")
-    out = []
     for k, i in enumerate(own):
         if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
             raise CollectionError("unsupported compression method")
         try:
             with archive.open(i) as f:
                 data = f.read(i.file_size + 1)
-        except (zipfile.BadZipFile, zlib.error, EOFError, OSError) as e:
+        except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError) as e:
             raise CollectionError("archive member can't be read") from e
         if len(data) != i.file_size:
             raise CollectionError("archive member is longer than declared")
-        out.append((i.filename, k, data))
-    return out
+        yield i.filename, k, data
 
 
 def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A frame for each member, as together they may be larger than a batch can be; a refused archive's last row says why."""
+    from ..operators.flatten import document
+
+    names = [f.split()[0] for f in MEMBERS.split(", ")]
     for batch in batches:
         for raw in batch.content:
             raw = bytes(raw)
-            if looks_like_zip(raw):
-                rows = zip_entries(raw)
-            else:
-                from ..operators.flatten import document
-
-                if document(raw) is None:
+            try:
+                if not looks_like_zip(raw) and document(raw) is None:
                     raise CollectionError("File is not a zip file")
-                rows = [("bare.json", 0, raw)]
-            yield pd.DataFrame(rows, columns=["name", "ord", "raw"])
+                for row in zip_entries(raw) if looks_like_zip(raw) else [("bare.json", 0, raw)]:
+                    yield pd.DataFrame([(*row, None)], columns=names)
+            except CollectionError as e:
+                yield pd.DataFrame([(None, None, None, str(e))], columns=names).astype({"ord": "Int64"})
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
@@ -101,12 +107,15 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
         sizes = files.select("length").agg(F.count("*").alias("n"), F.max("length").alias("most"), F.sum("length").alias("total")).first()
         if not sizes.n:
             raise CollectionError("no JSON members")
-        if sizes.n > MAX_MEMBERS or sizes.most > MAX_MEMBER or sizes.total > MAX_TOTAL:
+        if over_limits(sizes.n, sizes.most, sizes.total):
             raise CollectionError("directory exceeds the limits on members or sizes")
         names = numbered(files.select("path"), "path")
         return files.join(F.broadcast(names), "path").select("member", "ord", F.col("path").alias("name"), F.col("content").alias("raw"))
     opened = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_open, MEMBERS)
-    last = latest_by_name(opened)
+    refused = opened.where("refused is not null").select("refused").first()
+    if refused:
+        raise CollectionError(refused.refused)
+    last = latest_by_name(opened.drop("refused"))
     return last.join(F.broadcast(numbered(last.select("name", "ord"), "ord").select("name", "member")), "name").select("member", "ord", "name", "raw")
 
 
@@ -118,3 +127,11 @@ def input_hash(members: DataFrame) -> str:
     for r in members.orderBy("ord").select("raw").toLocalIterator():
         own.update(bytes(r.raw))
     return own.hexdigest()
+
+
+def source_hash(spark: SparkSession, path: str, members: DataFrame) -> str:
+    """SHA-256 of a file's own bytes, be it an archive or JSON; of a directory that of its members."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return input_hash(members)
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first().h
