@@ -95,10 +95,13 @@ def member_numbering(spark, sf_dir):
     return collection.numbered(table(spark, sf_dir, "nation").select("n_name"), "n_name").select("n_name", "member")
 
 
-@query("SELECT count(*) AS n, max(strlen(text)) AS most, CAST(sum(strlen(text)) AS BIGINT) AS total, max(strlen(text)) > 536870912 OR sum(strlen(text)) > 2147483648 AS refused FROM documents")
+@query("""SELECT source, count(*) AS n, max(strlen(text)) AS most, CAST(sum(strlen(text)) AS BIGINT) AS total, count(*) > 10000 OR 4000 * max(strlen(text)) > 536870912 OR 4000 * sum(strlen(text)) > 2147483648 AS refused
+FROM documents GROUP BY source""")
 def size_guard(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("b"))
-    return d.agg(F.count("*").alias("n"), F.max("b").alias("most"), F.sum("b").alias("total")).withColumn("refused", (F.col("most") > collection.MAX_MEMBER) | (F.col("total") > collection.MAX_TOTAL))
+    """Each source as a collection whose members are 4,000 times as long."""
+    d = table(spark, sf_dir, "documents").select("source", F.octet_length("text").cast("long").alias("b"))
+    own = d.groupBy("source").agg(F.count("*").alias("n"), F.max("b").alias("most"), F.sum("b").alias("total"))
+    return own.withColumn("refused", collection.over_limits(F.col("n"), 4000 * F.col("most"), 4000 * F.col("total")))
 
 
 @query(r"""WITH t AS (SELECT unnest(string_split_regex(text, '[ \t\n]+')) AS w FROM documents)
@@ -109,10 +112,24 @@ def shape_classify_tokens(spark, sf_dir):
     return w.groupBy(decide._group(F.col("w")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT t.v AS meta_type, CASE lower(t.v) WHEN 'users' THEN 'User' WHEN 'computers' THEN 'Computer' WHEN 'ous' THEN 'OU' WHEN 'foreignsecurityprincipals' THEN 'Base' ELSE 'Unknown' END AS node_type FROM (VALUES ('users'), ('Computers'), ('OUS'), ('foreignsecurityprincipals'), ('azbase')) AS t(v)")
+# Collection types in several spellings, and paths, that the next queries deal to the parts.
+META_TYPES = ("users", "Computers", "OUS", "foreignsecurityprincipals", "azbase", "GPOs", "domains", "groups ", "certTemplates", "meta")
+SECRET_PATHS = ("Properties.unixpassword", "Properties.LMHash[3]", "Properties.name", "a.password.b", "pwd", "Properties.UserPassword", "Properties.passwordnotreqd")
+
+
+def _dealt(spark, sf_dir, values):
+    """p_partkey with one of the values."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int")).alias("v"))
+
+
+def _dealt_sql(values):
+    return f"(SELECT p_partkey, list_extract([{', '.join(repr(v) for v in values)}], CAST(p_partkey % {len(values)} + 1 AS INTEGER)) AS v FROM part)"
+
+
+@query(f"""SELECT p_partkey, v AS meta_type, CASE lower(v) WHEN 'users' THEN 'User' WHEN 'computers' THEN 'Computer' WHEN 'ous' THEN 'OU' WHEN 'foreignsecurityprincipals' THEN 'Base' WHEN 'gpos' THEN 'GPO'
+WHEN 'domains' THEN 'Domain' WHEN 'certtemplates' THEN 'CertTemplate' WHEN 'meta' THEN 'Meta' ELSE 'Unknown' END AS node_type FROM {_dealt_sql(META_TYPES)}""")
 def node_type_map(spark, sf_dir):
-    v = spark.createDataFrame([(x,) for x in ("users", "Computers", "OUS", "foreignsecurityprincipals", "azbase")], "meta_type string")
-    return v.select("meta_type", classify.node_type(F.col("meta_type")).alias("node_type"))
+    return _dealt(spark, sf_dir, META_TYPES).select("p_partkey", F.col("v").alias("meta_type"), classify.node_type(F.col("v")).alias("node_type"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'rid.domain-admins' WHEN c_custkey % 4 = 1 THEN 'sid.5.11' WHEN c_custkey % 4 = 2 THEN 'wkguid.computers' END AS catalog_rule_id,
@@ -128,10 +145,12 @@ def catalog_classify(spark, sf_dir):
     return classify.contexts(o).select(F.col("idx").alias("c_custkey"), "catalog_rule_id", "privacy")
 
 
-@query("""SELECT * FROM (VALUES ('Domain', 'identity.domain-name', 'domains'), ('Computer', 'identity.computer-name', 'hosts'), ('User', 'common.properties-name', 'accounts'), ('Unknown', 'common.properties-name', 'accounts')) AS t(node_type, rule_id, namespace)""")
+@query(f"""SELECT p_partkey, v AS node_type, CASE v WHEN 'Domain' THEN 'identity.domain-name' WHEN 'Computer' THEN 'identity.computer-name' WHEN 'CertTemplate' THEN 'identity.template-name'
+WHEN 'ADLocalGroup' THEN 'identity.local-group-composite' ELSE 'common.properties-name' END AS rule_id, CASE v WHEN 'Domain' THEN 'domains' WHEN 'Computer' THEN 'hosts' WHEN 'CertTemplate' THEN 'cert_templates'
+WHEN 'ADLocalGroup' THEN NULL ELSE 'accounts' END AS namespace FROM {_dealt_sql(("Domain", "Computer", "User", "Unknown", "CertTemplate", "ADLocalGroup"))}""")
 def rule_lookup_priority(spark, sf_dir):
-    v = spark.createDataFrame([(t, "properties.name") for t in ("Domain", "Computer", "User", "Unknown")], "node_type string, canonical string")
-    return decide.with_rules(v, tables.rules()).select("node_type", "rule.rule_id", "rule.namespace")
+    v = _dealt(spark, sf_dir, ("Domain", "Computer", "User", "Unknown", "CertTemplate", "ADLocalGroup")).select("p_partkey", F.col("v").alias("node_type"), F.lit("properties.name").alias("canonical"))
+    return decide.with_rules(v, tables.rules()).select("p_partkey", "node_type", "rule.rule_id", "rule.namespace")
 
 
 @query("SELECT p_type, p_type IN ('Global', 'DomainLocal', 'Universal') AS kept, count(*) AS n FROM (SELECT CASE p_size % 3 WHEN 0 THEN 'Global' WHEN 1 THEN 'global' ELSE p_type END AS p_type FROM part) GROUP BY ALL")
@@ -141,10 +160,9 @@ def schema_allow_list(spark, sf_dir):
     return rows.groupBy("p_type", F.array_contains("rule.allowed", F.col("p_type")).alias("kept")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('Properties.unixpassword', true), ('Properties.LMHash[3]', true), ('Properties.name', false), ('a.password.b', false), ('pwd', true)) AS t(path, is_secret)")
+@query(f"SELECT p_partkey, v AS path, lower(regexp_replace(list_extract(string_split(v, '.'), -1), '\\[[0-9]+\\]$', '')) IN ('unixpassword', 'lmhash', 'pwd', 'userpassword') AS is_secret FROM {_dealt_sql(SECRET_PATHS)}")
 def secret_key_redaction(spark, sf_dir):
-    v = spark.createDataFrame([(p,) for p in ("Properties.unixpassword", "Properties.LMHash[3]", "Properties.name", "a.password.b", "pwd")], "path string")
-    return v.select("path", decide.secret(F.col("path")).alias("is_secret"))
+    return _dealt(spark, sf_dir, SECRET_PATHS).select("p_partkey", F.col("v").alias("path"), decide.secret(F.col("v")).alias("is_secret"))
 
 
 @query("""SELECT kind, out, count(*) AS n FROM (SELECT 'int' AS kind, CASE WHEN l_linenumber - 2 = -1 THEN '-2' ELSE '-1' END AS out FROM lineitem UNION ALL
@@ -172,10 +190,12 @@ def upn_split(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", placeholders(v, "address").alias("out"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9]+\.example\.com')) AS v FROM documents)
-SELECT doc_id, v, 'M<accounts|' || split_part(v, '@', 1) || '>@M<domains|' || split_part(split_part(v, '@', 2), '.', 1) || '>.M<domains|example>.com' AS out, count(*) AS n FROM e GROUP BY ALL""")
+@query(r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS v FROM documents), p AS (SELECT *, string_split(split_part(v, '@', 2), '.') AS l FROM e)
+SELECT doc_id, v, 'M<accounts|' || split_part(v, '@', 1) || '>@' || list_aggregate(list_transform(range(1, len(l) + 1), lambda k: CASE WHEN k = len(l) AND lower(l[k]) IN ('local', 'com', 'net', 'org') THEN l[k]
+ELSE 'M<domains|' || lower(l[k]) || '>' END), 'string_agg', '.') AS out, count(*) AS n FROM p GROUP BY ALL""")
 def email_split(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([a-z0-9.]+@[a-z0-9]+\.example\.com)"))).alias("v"))
+    pattern = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern))).alias("v"))
     return e.groupBy("doc_id", "v").agg(F.count("*").alias("n")).withColumn("out", placeholders(F.col("v"), "address"))
 
 
@@ -230,6 +250,16 @@ def registry_collision_check(spark, sf_dir):
     return mapping.problems(mapping.registry(mapping.identities(_people(spark, sf_dir)))).agg(F.count("*").alias("problems"))
 
 
+@query("""SELECT * FROM (SELECT 'accounts' AS category, 'leaves its source unchanged' AS problem, count(*) FILTER (c_custkey % 10 = 0) AS n FROM customer
+UNION ALL SELECT 'accounts', 'conflicts with structured output', count(*) FILTER (c_custkey % 10 = 1) FROM customer UNION ALL SELECT 'accounts', 'pseudonym collision', 1 FROM customer WHERE c_custkey = 2) WHERE n > 0""")
+def registry_faults(spark, sf_dir):
+    """Customers' identities with planted faults: some map to themselves, some have two pseudonyms, some share one."""
+    key = F.regexp_extract("real", r"([0-9]+)\z", 1).cast("long") % 10
+    reg = mapping.registry(mapping.identities(_people(spark, sf_dir)))
+    reg = reg.withColumn("pseudonym_norm", F.when(key == 0, F.col("norm")).when(key == 2, "shared").otherwise(F.col("pseudonym_norm"))).withColumn("variants", F.when(key == 1, 2).otherwise(F.col("variants")))
+    return mapping.problems(reg)
+
+
 @query("SELECT c_custkey, c_name, c_name AS restored FROM customer")
 def pseudonym_roundtrip(spark, sf_dir):
     done = _people(spark, sf_dir)
@@ -284,9 +314,38 @@ def verify_tampered(spark, sf_dir):
     return found.groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) <> 1")
+@query("""SELECT code, sum(n)::BIGINT AS n FROM (SELECT CASE c_custkey % 10 WHEN 0 THEN 'value-type-mismatch' WHEN 1 THEN 'source-output-topology-mismatch' WHEN 2 THEN 'identity-not-transformed' WHEN 3 THEN 'mapped-value-mismatch'
+WHEN 4 THEN 'reference-mapping-mismatch' WHEN 5 THEN 'undeclared-numeric-not-redacted' WHEN 6 THEN 'schema-value-mismatch' WHEN 7 THEN 'registry-mapping-missing' END AS code, count(*) AS n FROM customer GROUP BY 1
+UNION ALL SELECT 'policy-record-mismatch', count(*) FROM customer WHERE c_custkey % 10 BETWEEN 1 AND 4) WHERE code IS NOT NULL GROUP BY code""")
+def verify_each_code(spark, sf_dir):
+    """After the fact, of every tenth user each: the flag becomes a string, the account is gone, stays as it was, becomes another, the group's SID becomes another, the employee number
+    stays, the flag is turned, the account has no row in the mapping table."""
+    run = job.transform(adapter.members(spark, sf_dir), SALT)
+    outs = run.records.select("member", "record", F.col("output").alias("o")).unionByName(run.numbers.select("member", "record", F.col("out").alias("o")))
+    key = F.regexp_extract("record", r"\Adata\[([0-9]+)\]", 1).try_cast("long")
+    number = run.leaves.where("canonical = 'properties.employeenumber' and kind = 'int'").select("member", key.alias("_i"), (F.col("token").cast("long") % 10).alias("k"))
+    own = run.leaves.join(outs, ["member", "record"], "left").withColumn("_i", key).join(number, ["member", "_i"], "left")
+    at = lambda path, k: (F.col("canonical") == path) & (F.col("k") == k)
+    name, flag = "properties.samaccountname", "properties.enabled"
+    out = F.coalesce("o", "token")
+    changed = F.when(at(name, 2), F.col("token")).when(at(name, 3), "someone").when(at("primarygroupsid", 4), "S-1-5-21-1-1-1-513").when(at("properties.employeenumber", 5), F.col("token")).when(at(flag, 6), "false").otherwise(out)
+    output = own.where(~F.coalesce(at(name, 1), F.lit(False))).select("member", "record", F.when(at(flag, 0), "string").otherwise(F.col("kind")).alias("kind"), changed.alias("token"))
+    lost = run.leaves.join(number.withColumnRenamed("k", "_k"), (run.leaves.member == number.member) & (key == F.col("_i"))).where((F.col("canonical") == name) & (F.col("_k") == 7)).select(F.lower("token").alias("norm"), F.lit("accounts").alias("category"))
+    registry = run.registry.join(lost.distinct(), ["norm", "category"], "left_anti")
+    records = run.records.select("member", "record", "token", "output", *verify.JUDGED)
+    found = verify.findings(run.leaves, output, run.decided, run.numbers, registry, records, SALT)
+    one_each = found.where(~((F.col("code") == "registry-mapping-missing") & ~F.col("path").endswith("samaccountname")))
+    return one_each.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT code, count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 0 THEN 'record-missing' WHEN 1 THEN 'record-duplicate' WHEN 2 THEN 'policy-record-mismatch' WHEN 3 THEN 'policy-record-mismatch' WHEN 4 THEN 'record-extra' END AS code
+FROM events) WHERE code IS NOT NULL GROUP BY code""")
 def record_cardinality(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n <> 1")
+    """An event is a string leaf. Every tenth each has no record, has two, has one of another output, of another decision, or has a record beside its own."""
+    e = table(spark, sf_dir, "events").select(F.lit("events").alias("member"), F.col("event_id").cast("string").alias("record"), F.col("event_type").alias("a"), F.concat(F.lit("x"), "event_type").alias("b"), F.struct(F.lit("map_identity").alias("operation")).alias("judged"), (F.col("event_id") % 10).alias("k"))
+    own = e.where("k <> 0").select("member", "record", F.col("a").alias("token"), F.when(F.col("k") == 2, "else").otherwise(F.col("b")).alias("output"), F.when(F.col("k") == 3, F.struct(F.lit("replace_opaque").alias("operation"))).otherwise(F.col("judged")).alias("judged"), "k")
+    more = own.where("k = 1").union(own.where("k = 4").withColumn("record", F.concat("record", F.lit("+"))))
+    return verify.record_findings(e.drop("k"), own.union(more).drop("k"), SALT).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def _preflight(spark, sf_dir):
@@ -298,7 +357,7 @@ def preflight_duplicates(spark, sf_dir):
     return audit.duplicate_types(_preflight(spark, sf_dir))
 
 
-@query("SELECT 'groups' AS meta_type")
+@query("SELECT t.v AS meta_type FROM (VALUES ('users'), ('computers'), ('groups'), ('domains')) AS t(v) WHERE t.v NOT IN (SELECT 'users' FROM customer UNION SELECT 'computers' FROM supplier UNION SELECT 'domains' FROM nation)")
 def preflight_missing(spark, sf_dir):
     return audit.missing_types(_preflight(spark, sf_dir))
 
@@ -313,6 +372,16 @@ def preflight_count_mismatch(spark, sf_dir):
     return audit.wrong_counts(_preflight(spark, sf_dir)).agg(F.count("*").alias("wrong"))
 
 
+@query("SELECT 'users-' || lpad(c_nationkey::VARCHAR, 5, '0') AS member, count(*) + 1 AS declared, count(*) AS items FROM customer WHERE c_nationkey % 2 = 0 GROUP BY c_nationkey")
+def preflight_wrong_counts(spark, sf_dir):
+    """Every second nation's users are declared one too many."""
+    text, even = F.col("raw").cast("string"), (F.substring("member", 7, 5).try_cast("int") % 2 == 0) & F.col("member").startswith("users-")
+    declared = F.get_json_object(text, "$.meta.count").cast("long")
+    raised = F.replace(text, F.concat(F.lit('"count":'), declared.cast("string")), F.concat(F.lit('"count":'), (declared + 1).cast("string")))
+    members = adapter.members(spark, sf_dir).withColumn("raw", F.when(even, raised.cast("binary")).otherwise(F.col("raw")))
+    return audit.wrong_counts(flatten.objects(members)).select("member", F.col("declared").cast("long").alias("declared"), "items")
+
+
 @query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
 def top_unknown_paths(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("item")).agg(F.count("*").alias("n")).withColumn("section", F.lit("unknown_paths"))
@@ -328,16 +397,31 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.coalesce(F.aggregate(F.map_values("s.counts"), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).alias("n"))
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\b(?:the|of|and|que|der)\b')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$') ")
+@query(r"SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '(?i)\b(?:the|of|and|que|der)\b')), 0) AS BIGINT) AS n FROM documents")
 def scrub_word_boundary(spark, sf_dir):
-    """The ASCII texts, as in its SQL; scrub_word_boundary_all has every text."""
-    return _word_counts(table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A\p{ASCII}*\z")))
+    """Word boundaries are ASCII, whatever letters stand beside."""
+    return _word_counts(table(spark, sf_dir, "documents"))
 
 
-@query()
-def scrub_word_boundary_all(spark, sf_dir):
-    """Held against brute force in tests: word boundaries are ASCII, whatever letters stand beside."""
-    return _word_counts(table(spark, sf_dir, "documents"))
+SWEPT = {"the": "w1", "of": "w2", "que": "w3", "Der": "w4", "THE": "never"}
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'w1', 'gi'), '\bof\b', 'w2', 'gi'), '\bque\b', 'w3', 'gi'), '\bder\b', 'w4', 'gi')) AS digest FROM documents")
+def token_sweep(spark, sf_dir):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: textops.sweep(t, SWEPT), na_action="ignore")
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(run("text").cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '(?i)\b(?:the|of|que|der)\b'))), 'string_agg', ','), '')) AS found FROM documents")
+def tokens_found(spark, sf_dir):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ",".join(sorted(textops.find_tokens(t or "", list(SWEPT)))))
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(run("text").cast("binary")).alias("found"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
