@@ -111,6 +111,8 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
             raise CollectionError("directory exceeds the limits on members or sizes")
         names = numbered(files.select("path"), "path")
         return files.join(F.broadcast(names), "path").select("member", "ord", F.col("path").alias("name"), F.col("content").alias("raw"))
+    if not fs.getFileStatus(where).getLen():
+        raise CollectionError("File is not a zip file")
     opened = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_open, MEMBERS)
     refused = opened.where("refused is not null").select("refused").first()
     if refused:
