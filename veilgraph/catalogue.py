@@ -292,7 +292,7 @@ def edge_preservation(spark, sf_dir):
 @query("""SELECT * FROM (SELECT 'map_custom_identifier' AS operation, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS n
 UNION ALL SELECT 'map_reference', (SELECT count(*) FROM customer) UNION ALL SELECT 'map_identity', 3 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation)
 UNION ALL SELECT 'parse_spn', (SELECT count(*) FROM supplier) UNION ALL SELECT 'parse_dn', (SELECT count(*) FROM nation) UNION ALL SELECT 'replace_opaque', (SELECT count(*) FROM customer)
-UNION ALL SELECT 'preserve_schema_value', (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT c_nationkey) FROM customer) + (SELECT count(DISTINCT s_nationkey) FROM supplier) + 1)""")
+UNION ALL SELECT 'preserve_schema_value', (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT (c_nationkey, c_custkey // 100000)) FROM customer) + (SELECT count(DISTINCT (s_nationkey, s_suppkey // 100000)) FROM supplier) + 1)""")
 def audit_counts(spark, sf_dir):
     run = job.transform(adapter.members(spark, sf_dir), SALT)
     return run.audit().where("section = 'operations'").select(F.col("item").alias("operation"), "n")
@@ -352,7 +352,7 @@ def _preflight(spark, sf_dir):
     return flatten.objects(adapter.members(spark, sf_dir))
 
 
-@query("SELECT 'computers' AS meta_type, count(DISTINCT s_nationkey) AS members FROM supplier UNION ALL SELECT 'users', count(DISTINCT c_nationkey) FROM customer")
+@query("SELECT * FROM (SELECT 'computers' AS meta_type, count(DISTINCT (s_nationkey, s_suppkey // 100000)) AS members FROM supplier UNION ALL SELECT 'users', count(DISTINCT (c_nationkey, c_custkey // 100000)) FROM customer) WHERE members > 1")
 def preflight_duplicates(spark, sf_dir):
     return audit.duplicate_types(_preflight(spark, sf_dir))
 
@@ -372,7 +372,7 @@ def preflight_count_mismatch(spark, sf_dir):
     return audit.wrong_counts(_preflight(spark, sf_dir)).agg(F.count("*").alias("wrong"))
 
 
-@query("SELECT 'users-' || lpad(c_nationkey::VARCHAR, 5, '0') AS member, count(*) + 1 AS declared, count(*) AS items FROM customer WHERE c_nationkey % 2 = 0 GROUP BY c_nationkey")
+@query("SELECT 'users-' || lpad(c_nationkey::VARCHAR, 5, '0') || '-' || (c_custkey // 100000) AS member, count(*) + 1 AS declared, count(*) AS items FROM customer WHERE c_nationkey % 2 = 0 GROUP BY c_nationkey, c_custkey // 100000")
 def preflight_wrong_counts(spark, sf_dir):
     """Every second nation's users are declared one too many."""
     text, even = F.col("raw").cast("string"), (F.substring("member", 7, 5).try_cast("int") % 2 == 0) & F.col("member").startswith("users-")

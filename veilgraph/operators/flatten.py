@@ -170,14 +170,26 @@ def implode(nodes: DataFrame) -> DataFrame:
     return grouped.select("member", "part", "idx", "record", build("rows").alias("body"))
 
 
-def documents(objects_: DataFrame) -> DataFrame:
-    """(member, body): whole members; the meta block first, then data, then the other root keys."""
+#: Objects that are put together at a time.
+CHUNK = 1000
+
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["part", "idx"])
-        meta = group.body[group.part == META].iloc[0]
-        data = ", ".join(group.body[group.part == DATA])
-        rest = "".join(f", {json.dumps(paths.steps(r.record)[0])}: {r.body}" for r in group[group.part == REST].itertuples())
-        return pd.DataFrame([(group.member.iloc[0], f'{{"meta": {meta}, "data": [{data}]{rest}}}')], columns=["member", "body"])
+def documents(objects_: DataFrame) -> DataFrame:
+    """(member, body): whole members; the meta block first, then data, then the other root keys. Ranges of objects are put together first, so a
+    member's objects are sorted in many tasks and only its text ends in one row."""
 
-    return objects_.groupBy("member").applyInPandas(build, "member string, body string")
+    @F.pandas_udf("string")
+    def root_key(records: pd.Series) -> pd.Series:
+        return records.map(lambda r: json.dumps(paths.steps(r)[0]))
+
+    def joined(rows):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["text"]), ", ")
+
+    part = F.col("part")
+    data = objects_.where(part == DATA).groupBy("member", (F.col("idx") / CHUNK).cast("long").alias("k")).agg(joined(F.struct("idx", F.col("body").alias("text"))).alias("text"))
+    rest = objects_.where(part == REST).select("member", F.col("idx").alias("k"), F.concat(root_key("record"), F.lit(": "), "body").alias("text"))
+    each = data.withColumn("part", F.lit(DATA)).unionByName(rest.withColumn("part", F.lit(REST)))
+    own = each.groupBy("member").agg(*[joined(F.when(part == p, F.struct("k", "text"))).alias(name) for p, name in ((DATA, "data"), (REST, "rest"))])
+    tail = F.when(F.col("rest") != "", F.concat(F.lit(", "), "rest")).otherwise("")
+    got = objects_.where(part == META).select("member", "body").join(own, "member", "left")
+    return got.select("member", F.concat(F.lit('{"meta": '), "body", F.lit(', "data": ['), F.coalesce("data", F.lit("")), F.lit("]"), tail, F.lit("}")).alias("body"))

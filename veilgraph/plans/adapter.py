@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that share a member of a nation; about a 25th of them are the nation's.
+BLOCK = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +27,7 @@ def user_name(customer: Column) -> Column:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(member, raw): a users and a computers member for each nation, and one of domains."""
+    """(member, raw): users and computers of each nation, a member for each ``BLOCK`` keys, so that members don't grow with the tables; and one of domains."""
     nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     n, c, s = F.col("c_nationkey"), F.col("c_custkey"), F.col("s_suppkey")
     user = F.struct(
@@ -37,9 +41,10 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     domain = F.struct(domain_sid(F.col("n_nationkey")).alias("ObjectIdentifier"), F.struct(domain_name(F.col("n_nationkey")).alias("name"), F.concat(F.lit("DC=corp"), F.col("n_nationkey").cast("string"), F.lit(",DC=local")).alias("distinguishedname")).alias("Properties"))
 
-    def pack(df: DataFrame, key: Column, kind: str, item: Column) -> DataFrame:
-        got = df.groupBy(key.alias("k")).agg(F.sort_array(F.collect_list(item)).alias("data"))
+    def pack(df: DataFrame, key: Column, number: Column, kind: str, item: Column) -> DataFrame:
+        got = df.groupBy(key.alias("k"), F.floor(number / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(item)).alias("data"))
         meta = F.struct(F.lit(kind).alias("type"), F.size("data").alias("count"), F.lit(6).alias("version"))
-        return got.select(F.concat(F.lit(f"{kind}-"), F.lpad(F.col("k").cast("string"), 5, "0")).alias("member"), F.to_json(F.struct(meta.alias("meta"), "data")).cast("binary").alias("raw"))
+        return got.select(F.concat(F.lit(f"{kind}-"), F.lpad(F.col("k").cast("string"), 5, "0"), F.lit("-"), F.col("b").cast("string")).alias("member"), F.to_json(F.struct(meta.alias("meta"), "data")).cast("binary").alias("raw"))
 
-    return pack(customer, n, "users", user).union(pack(supplier, F.col("s_nationkey"), "computers", computer)).union(pack(nation, F.lit(0), "domains", domain))
+    users, computers = pack(customer, n, c, "users", user), pack(supplier, F.col("s_nationkey"), s, "computers", computer)
+    return users.union(computers).union(pack(nation, F.lit(0), F.col("n_nationkey"), "domains", domain))
