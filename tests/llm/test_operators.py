@@ -439,6 +439,58 @@ def test_op5_ties_and_narrow_margins(spark):
     assert language.predict(frame.where("doc_id = 0"), one, []).first() == ("es", 1.0, False)
 
 
+ODD = [
+    (None, "a text without an id"), (None, "a text without an id"), (None, None), (1, "same id, one text"), (1, "same id, another text"), (1, "same id, one text"), (2, None), (3, ""), (4, " \t\n"), (5, "12 34 --"),
+    (6, "a very long text of many words " * 12_000), (7, "x" * 300_000), (8, "one"), (9, "\U0001f600 \u65e5\u672c \u0000 \ufffd"), (-5, "a negative id"),
+]
+#: Names that the operators use for columns of their own.
+CLASHES = "score predicted lang_pred rejected held_out shard slot size part local row hash tokens n_tokens start length rank sequence_id fp node component component_id m h1 _h1 _first0 _salt _hot spans n key text_ _judged"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    frame = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+    return frame.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES.split())]).repartition(3)
+
+
+def every_operator(spark, docs, path):
+    """Rows that each operator on documents gives for a table, through its query's own function."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    common.table(spark, SF, "labels").write.parquet(f"{path}/labels.parquet")
+    from veilgraph.llm import queries
+
+    return {k: v(spark, f"file://{path}").toPandas() for k, v in queries.QUERIES.items() if k not in ("op6_multi_index", "op8_ivfpq")}
+
+
+def test_odd_tables(spark, odd, tmp_path):
+    """Null and repeated ids, null, empty, blank and long texts, repeated rows and columns with the operators' own names."""
+    got = every_operator(spark, odd, tmp_path / "odd")
+    ids = collections.Counter(i for i, _ in ODD)
+    for name, frame in got.items():
+        if name == "op10_best_fit":
+            continue
+        assert collections.Counter(None if pd.isna(i) else int(i) for i in frame.doc_id) == ids, name
+    one = got["op1_token_files"].sort_values("start")
+    assert list(one.start) == list(np.cumsum([0, *one.n_tokens])[:-1]) and one.doc_id.isna().to_numpy()[:3].all()
+    assert collections.Counter(one.ids_crc32) == collections.Counter(crc(library_ids(t) + [2]) for _, t in ODD)
+    assert got["op2_nb_ngrams"].score.between(0, 1).all() and got["op2_nb_ngrams"].held_out.isna().sum() == 3
+    assert collections.Counter(got["op3_simhash"].fingerprint) == collections.Counter(f"{plain_fingerprint(t):016x}" for _, t in ODD)
+    four = got["op4_rendezvous"]
+    assert collections.Counter(four["size"]) == collections.Counter(len((t or "").encode()) + 8 for _, t in ODD) and all(sorted(g.slot) == list(range(len(g))) for _, g in four.groupby("shard"))
+    five = got["op5_zstd_language"]
+    assert (five.lang_pred == "und").sum() == sum(not any(c.isalpha() for c in t or "") for _, t in ODD) and five[five.lang_pred == "und"].rejected.all()
+    assert collections.Counter(got["op7_bpe_trie"].n_tokens) == collections.Counter(len(library_ids(t)) for _, t in ODD)
+    ten = got["op10_best_fit"]
+    assert ten.groupby("sequence_id").length.sum().max() <= 4096 and ten.length.sum() == sum(len(library_ids(t)) + 1 for _, t in ODD)
+
+
+def test_tables_of_nulls_and_empty_tables(spark, odd, tmp_path):
+    nulls = odd.limit(4).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema])
+    got = every_operator(spark, nulls, tmp_path / "nulls")
+    assert all(len(f) == 4 and f.doc_id.isna().all() for f in got.values()) and set(got["op5_zstd_language"].lang_pred) == {"und"} and set(got["op3_simhash"].fingerprint) == {"0" * 16}
+    assert all(len(f) == 0 for f in every_operator(spark, odd.limit(0), tmp_path / "none").values())
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(300, 360)]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -143,21 +143,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: that of its least doc_id, rows without one last; of several texts under that id the one of least
     fingerprint and hash; of equal rows any one."""
-    own = docs.withColumn("_h1", F.xxhash64(F.col("text").cast("string"))).withColumn("_h2", F.xxhash64(F.lit(1), F.col("text").cast("string")))
-    prints = materialize(fingerprints(own, ["_h1", "_h2"]), "fingerprints")
-    texts = prints.groupBy("doc_id", "fp", "_h1", "_h2").agg(F.count("*").alias("n"))
-    named = materialize(attach(texts, components(prints.select("doc_id", "fp")), ["fp"], "m", "_h1"), "named")
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "_h1", "_h2")
+    names = {c.lower() for c in docs.columns}
+    h1, h2 = (next(f"{x}{k}" for k in count() if f"{x}{k}" not in names) for x in ("_first", "_second"))
+    own = docs.withColumn(h1, F.xxhash64(F.col("text").cast("string"))).withColumn(h2, F.xxhash64(F.lit(1), F.col("text").cast("string")))
+    prints = materialize(fingerprints(own, [h1, h2]), "fingerprints")
+    texts = prints.groupBy("doc_id", "fp", h1, h2).agg(F.count("*").alias("n"))
+    named = materialize(attach(texts, components(prints.select("doc_id", "fp")), ["fp"], "m", h1), "named")
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", h1, h2)
     firsts = materialize(named.groupBy("part").agg(F.min(key).alias("first"), F.count("*").alias("texts")), "firsts")
-    placed = materialize(attach(named, firsts, ["part"], "texts", "_h1").select("doc_id", "_h1", "_h2", "n", key.eqNullSafe(F.col("first")).alias("stays")), "placed")
+    placed = materialize(attach(named, firsts, ["part"], "texts", h1).select("doc_id", h1, h2, "n", key.eqNullSafe(F.col("first")).alias("stays")), "placed")
 
     def these(rows: DataFrame, condition: str, how: str) -> DataFrame:
-        some = placed.where(condition).select(F.col("doc_id").alias("_id"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
-        return rows.join(some, rows.doc_id.cast("long").eqNullSafe(some._id) & (rows._h1 == some._g1) & (rows._h2 == some._g2), how)
+        some = placed.where(condition).select("doc_id", h1, h2)
+        return rows.join(some, rows["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (rows[h1] == some[h1]) & (rows[h2] == some[h2]), how)
 
     left = these(own, "not stays", "left_anti")
     if not placed.where("stays and n > 1").isEmpty():  # rows that repeat in id and text
-        again = these(left, "stays and n > 1", "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+        again = these(left, "stays and n > 1", "left_semi").dropDuplicates(["doc_id", h1, h2])
         left = these(left, "stays and n > 1", "left_anti").union(again)
     return left.select(*docs.columns)
 
