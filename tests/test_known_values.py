@@ -91,6 +91,22 @@ def test_many_targets_are_joined_as_few_are(spark, monkeypatch):
     assert {(r.record, r._rid) for r in decide.with_evidence(rows, rids).select("record", "_rid").collect()} == few and len(few) == rows.count()
 
 
+def test_damaged_mappings_are_refused(spark, tmp_path):
+    from veilgraph.__main__ import main
+
+    schema = "category string, norm string, pseudonym_norm string"
+    sound = [("sids", "s-1-5-21-1-2-3", "s-1-5-21-7-8-9"), ("sids", "s-1-5-21-1-2-3-1104", "s-1-5-21-7-8-9-5"), ("sids", "s-1-5-32-544", "s-1-5-21-4-4-4"), ("sids", "s-1-5-21-5-6-7-8-9", "s-1-5-21-1-1-1-2-3")]
+    mapping.check_hierarchy(spark.createDataFrame(sound, schema))
+    for bad in (("sids", "s-1-5-21-1-2-3-1105", "s-1-5-21-7-8-8-6"), ("sids", "s-1-5-21-1-2-3-1105", "s-1-5-21-7-8-9")):
+        with pytest.raises(mapping.MappingError):
+            mapping.check_hierarchy(spark.createDataFrame([*sound, bad], schema))
+    (tmp_path / "in.json").write_text(json.dumps({"meta": {"type": "users", "count": 1}, "data": [{"ObjectIdentifier": "S-1-5-21-1-2-3-1104"}]}))
+    saved = {"salt": known_values.SALT, "format_version": 2, "policy": {"catalog_version": 2}, "categories": {"sids": {"S-1-5-21-1-2-3": "S-1-5-21-7-8-9", "S-1-5-21-1-2-3-1104": "S-1-5-21-9-9-9-5"}}}
+    (tmp_path / "map.json").write_text(json.dumps(saved))
+    assert main(["anonymize", "--input", str(tmp_path / "in.json"), "--out", str(tmp_path / "out"), "--reuse-map", str(tmp_path / "map.json")]) == 2
+    assert not (tmp_path / "out").exists()
+
+
 def test_refusals(spark, tmp_path, capsys):
     from veilgraph.__main__ import main
 

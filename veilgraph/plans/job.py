@@ -169,6 +169,8 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
     if run.contexts.where("part = 0").isEmpty():
         raise collection.CollectionError("no member is a collection document")
     mapping.check_reuse(run.registry, saved or {})
+    if saved:
+        mapping.check_hierarchy(run.registry)
     before = mapping.fingerprint(run.registry)
     found = run.findings
     if not found.isEmpty():
