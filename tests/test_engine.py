@@ -230,3 +230,53 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert main(["anonymize", "--input", str(bad), "--out", str(tmp_path / "no"), "--verbose-failures"]) == 1
     assert "source-invalid-meta-count" in capsys.readouterr().err
     assert main(["anonymize", "--input", str(folder), "--out", out]) == 2
+
+
+def test_members_that_are_no_files_or_change(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(DOCS["b.json"]))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "b.json").write_text(json.dumps(DOCS["a.json"]))
+    os.symlink(tmp_path / "other", tmp_path / "in" / "linked")
+    assert collection.read_members(spark, str(tmp_path / "in")).count() == 1
+    before = collection.listing(spark, str(tmp_path / "in" / "a.json"))
+    collection.check_unchanged(spark, str(tmp_path / "in" / "a.json"), before)
+    (tmp_path / "in" / "a.json").write_text("{}")
+    with pytest.raises(collection.CollectionError, match="changed"):
+        collection.check_unchanged(spark, str(tmp_path / "in" / "a.json"), before)
+    os.symlink(tmp_path / "other" / "b.json", tmp_path / "in" / "c.json")
+    with pytest.raises(collection.CollectionError, match="non-regular"):
+        collection.read_members(spark, str(tmp_path / "in"))
+
+
+def test_a_taken_name_is_never_replaced(tmp_path):
+    for kind in ("folder", "file"):
+        staged, out = tmp_path / f"{kind}.staging", tmp_path / kind
+        out.mkdir()
+        staged.mkdir() if kind == "folder" else staged.write_text("new")
+        with pytest.raises(publish.PublishError):
+            publish.rename_new(str(staged), str(out))
+        assert staged.exists() and os.listdir(out) == []
+    publish.rename_new(str(tmp_path / "folder.staging"), str(tmp_path / "fresh"))
+    assert (tmp_path / "fresh").is_dir() and not (tmp_path / "folder.staging").exists()
+
+
+def test_own_rules_keep_names_within_a_distinguished_name(spark, tmp_path):
+    own = [r for r in tables.rules() if not (r.path == "Properties.name" and "*" in r.node_types)] + [tables.Rule("own.name", "Properties.name", "parse_dn")]
+    items = [{"ObjectIdentifier": "cccccccc-1111-2222-3333-444444444444", "Properties": {"name": n, "wkguid": "AA312825768811D1ADED00C04FD8D5CD"}} for n in ("CN=Computers,DC=zqcorp,DC=local", "CN=zqbox,DC=zqcorp,DC=local")]
+    (tmp_path / "a.json").write_text(json.dumps(doc("containers", items)))
+    run = job.transform(collection.read_members(spark, str(tmp_path / "a.json")), SALT, own_rules=own)
+    names = [o["Properties"]["name"] for o in json.loads(run.documents().first().body)["data"]]
+    assert names[0].startswith("CN=Computers,DC=") and names[0].endswith(",DC=local") and "zq" not in "".join(names).lower() and run.findings.isEmpty()
+
+
+def test_real_tokens(spark, run):
+    got = [r.real for r in mapping.real_tokens(run.registry, {"legacy_reverse_aliases": {"S-1-5-21-9-9-9-1": "S-1-5-21-1-2-3-4-5"}}).collect()]
+    assert got == sorted(got) and len(got) == len(set(got)) and "S-1-5-21-1-2-3-4-5" in got and set(got) >= {r.real for r in run.registry.collect()}
+    assert [g.gate for g in verify.by_gate(spark.createDataFrame([(g, "m", "p", "c", None) for g in ("records", "evidence", "source")], "gate string, member string, path string, code string, offender string")).collect()] == ["source", "evidence", "records"]
+
+
+def test_clock():
+    from veilgraph.__main__ import clock
+
+    assert [clock(s) for s in (0, 41.9, 72, 3600)] == ["0:00", "0:41", "1:12", "60:00"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 
 def report(values: dict) -> str:
@@ -23,6 +24,11 @@ def report(values: dict) -> str:
     return "\n".join(lines)
 
 
+def clock(seconds: float) -> str:
+    """Minutes and seconds."""
+    return f"{int(seconds) // 60}:{int(seconds) % 60:02}"
+
+
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: the gate or inspection found something; 2: refused."""
     p = argparse.ArgumentParser("veilgraph")
@@ -66,10 +72,13 @@ def main(argv: list[str] | None = None) -> int:
 
     bars = getattr(o, "progress", False) or sys.stderr.isatty() and not getattr(o, "no_progress", True)
     spark = SparkSession.builder.config("spark.ui.showConsoleProgress", str(bars).lower()).getOrCreate()
+    began = time.monotonic()
     try:
         if o.verb in ("anonymize", "inspect"):
             config = Config(preserve_core=not o.no_preserve_core, redact_undeclared_numbers=not o.keep_undeclared_numbers, preserve_os_strings=not o.redact_os_strings)
             got = job.anonymize(spark, o.input, o.out, o.map, o.reuse_map, o.salt, config) if o.verb == "anonymize" else job.inspect(spark, o.input, config)
+            if bars:
+                print(f"done in {clock(time.monotonic() - began)}", file=sys.stderr)
             as_json = o.no_summary if o.verb == "anonymize" else o.format == "json"
             print(json.dumps(got, separators=(",", ":")) if o.verb == "anonymize" and as_json else json.dumps(got, indent=2) if as_json else report(got))
             return int(bool(got.get("findings")))

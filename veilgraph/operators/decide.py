@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.shapes import dn_parses, domain_rid, fold, inner_sid, is_guid, is_oid, is_sid, spn_parses
 from ..plans import tables
 from ..plans.tables import Config
@@ -64,6 +65,19 @@ def with_permits(rows: DataFrame, value: str, out: str, config: Config) -> DataF
     return got.withColumn(out, F.coalesce("_a", "_b", F.lit(False))).drop("_a", "_b", "_f", "_g")
 
 
+def with_kept_names(rows: DataFrame, config: Config, own: list[tables.Rule]) -> DataFrame:
+    """rdn_keep: the names that stay within a distinguished name, as JSON, where the catalog keeps any at its path; only own rules lead there."""
+    none, where = F.lit(None).cast("string"), {paths.canonical(r.path) for r in own if r.operation == "parse_dn"}
+    frame = tables.permits_frame(rows.sparkSession, config).where(F.col("entry_path").isin(*where))
+    if frame.isEmpty():
+        return rows.withColumn("rdn_keep", none)
+    named = lambda df, out, *keys: F.broadcast(df.groupBy(*keys, F.col("entry_type").alias("node_type"), F.col("entry_path").alias("canonical")).agg(F.collect_set("exact").alias(out)))
+    got = rows.join(named(frame, "_a", F.col("entry_id").alias("catalog_rule_id")), ["catalog_rule_id", "node_type", "canonical"], "left")
+    got = got.join(named(frame.where((F.lower("value") == F.col("exact")) & (F.col("kind") != "RID")), "_b"), ["node_type", "canonical"], "left")
+    kept = F.array_sort(F.array_union(F.coalesce("_a", F.array().cast("array<string>")), F.coalesce("_b", F.array().cast("array<string>"))))
+    return got.withColumn("rdn_keep", F.when((F.col("rule.operation") == "parse_dn") & (F.size(kept) > 0), F.to_json(kept))).drop("_a", "_b")
+
+
 def with_rid_match(rows: DataFrame, config: Config) -> DataFrame:
     """rid_entry: the catalog entry that lets the SID's last arc stay here; a reference goes by the type its sibling names."""
     own = tables.permits_frame(rows.sparkSession, config).where("kind = 'RID'")
@@ -81,7 +95,7 @@ def resolve(leaves: DataFrame, config: Config, own: list[tables.Rule] | None = N
     rows = with_rules(leaves.where("kind = 'string'"), own or tables.rules(config))
     rows = rows.withColumn("sub", F.when(((F.col("canonical") == "properties.name") | (F.col("rule.operation") == "parse_composite")) & v.contains("@"), F.regexp_extract(v, r"(?s)\A(.*)@[^@]*\z", 1)))
     rows = with_permits(with_permits(rows, "token", "permitted", config), "sub", "sub_permitted", config)
-    rows = with_rid_match(rows, config)
+    rows = with_kept_names(with_rid_match(rows, config), config, own or tables.rules(config))
     op, ns = F.col("rule.operation"), F.when(F.col("rid_entry").isNotNull(), "sids_preserve_rid").otherwise(F.col("rule.namespace"))
     actual = F.when(is_sid(v), "sids").when(is_guid(v), "guids").when(is_oid(v), "oids")
     declared_sid = ns.isin("sids", "sids_preserve_rid")
@@ -112,7 +126,7 @@ def resolve(leaves: DataFrame, config: Config, own: list[tables.Rule] | None = N
     )
     fallback = F.concat(F.lit("fallback."), F.coalesce(F.regexp_replace(actual, "s$", ""), F.lit("unknown-string")))
     got = rows.withColumn("d", F.when(op.isNotNull(), ruled).otherwise(unknown)).withColumn("rule_id", F.coalesce("rule.rule_id", fallback))
-    return got.select(*leaves.columns, "d.*", "rule_id", "permitted", "sub", "sub_permitted", "rid_entry")
+    return got.select(*leaves.columns, "d.*", "rule_id", "permitted", "sub", "sub_permitted", "rid_entry", "rdn_keep")
 
 
 def template_candidate(rows: DataFrame) -> DataFrame:
@@ -174,9 +188,9 @@ def decide(resolved: DataFrame, evidence: Evidence) -> DataFrame:
         .when(op.isin("map_identity", "map_reference"), by_space).when(op == "map_custom_identifier", "shape").when(op == "parse_dn", "dn").when(op == "parse_spn", "spn")
         .when(op == "parse_composite", "group_at").when(v == "", "same").otherwise("opaque")
     )
-    rows = rows.withColumn("form", form).withColumn("arg", F.when(F.col("form") == "literal", F.col("source")).when(F.col("form") == "template_at", F.coalesce("source", F.when(F.col("candidate"), F.col("identity")))))
+    rows = rows.withColumn("form", form).withColumn("arg", F.when(F.col("form") == "literal", F.col("source")).when(F.col("form") == "dn", F.col("rdn_keep")).when(F.col("form") == "template_at", F.coalesce("source", F.when(F.col("candidate"), F.col("identity")))))
     keep = F.when(F.col("form").isin("sid", "shape"), ns == "sids_preserve_rid").when(F.col("form").isin("name_at", "group_at"), F.coalesce("sub_permitted", F.lit(False))).otherwise(False)
-    return rows.withColumn("keep", F.coalesce(keep, F.lit(False))).drop("_t", "_rid", "_target", "source", "candidate", "identity")
+    return rows.withColumn("keep", F.coalesce(keep, F.lit(False))).drop("_t", "_rid", "_target", "source", "candidate", "identity", "rdn_keep")
 
 
 def numbers(leaves: DataFrame, config: Config, own: list[tables.Rule] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ a reused mapping, which overrides it, is looked up first. The mapping table is w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,9 @@ def cut(form: str, token: str, arg: str | None, keep: bool) -> list[pieces.Piece
         return [(None, arg)]
     if form == "template_at":
         return list(pieces.template_at_domain(token, arg))
+    if form == "dn" and arg:
+        names = set(json.loads(arg))
+        return list(pieces.dn(token, lambda kind, text: text.casefold() in names))
     if form == "spn":
         own = pieces.spn(token)
         own = None if own is None else list(own)
@@ -185,6 +189,13 @@ def reversals(spark: SparkSession, saved: dict) -> DataFrame:
     return own.union(spark.createDataFrame(rows, own.schema)) if rows else own
 
 
+def real_tokens(registry_: DataFrame, saved: dict | None = None) -> DataFrame:
+    """Each real once, with those that only aliases of a reused mapping stand for, in code point order."""
+    own, owners_ = registry_.select("real"), sorted(set((saved or {}).get("legacy_reverse_aliases", {}).values()))
+    aliases = registry_.sparkSession.createDataFrame([(r,) for r in owners_], "real string")
+    return own.union(aliases).distinct().orderBy("real")
+
+
 def check_reuse(registry_: DataFrame, saved: dict) -> None:
     """A new pseudonym may not be one that an alias of the reused mapping stands for."""
     aliases = [(pseudonyms.normalize("sids", p),) for p in saved.get("legacy_reverse_aliases", {})]

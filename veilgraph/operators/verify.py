@@ -136,6 +136,13 @@ def findings(source: DataFrame, output: DataFrame, decided: DataFrame, numbers:
     return values.unionByName(records_).unionByName(clash).unionByName(unsafe)
 
 
+#: The gates in the order in which a run meets them.
+GATES = ("source", "evidence", "registry", "output", "records")
+
+
 def by_gate(found: DataFrame) -> DataFrame:
-    """Findings counted by gate and code."""
-    return found.groupBy("gate", "code").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).orderBy("gate", "code")
+    """Findings counted by gate and code, gates in their order, with the first member and path of each."""
+    first = F.min(F.struct("member", "path"))
+    rank = F.array_position(F.array(*map(F.lit, GATES)), F.col("gate"))
+    got = found.groupBy("gate", "code").agg(F.count("*").alias("n"), first.alias("f")).orderBy(rank, "code")
+    return got.select("gate", "code", "n", F.col("f.path").alias("first_path"))

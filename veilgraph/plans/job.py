@@ -165,7 +165,9 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
     publish.guard(source, out, mapping_path)
     saved = publish.load_mapping(reuse, tables.CATALOG_VERSION) if reuse else None
     salt = saved["salt"] if saved else salt or publish.new_salt()
-    run = transform(collection.read_members(spark, source), salt, config, saved)
+    members = collection.read_members(spark, source)
+    listed = collection.listing(spark, source)
+    run = transform(members, salt, config, saved)
     if run.contexts.where("part = 0").isEmpty():
         raise collection.CollectionError("no member is a collection document")
     mapping.check_reuse(run.registry, saved or {})
@@ -178,6 +180,7 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
     if mapping.fingerprint(run.registry) != before:
         raise LeakError("verification failed: registry-state-changed")
     text = publish.mapping_text(run.registry, salt, collection.source_hash(spark, source, run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
+    collection.check_unchanged(spark, source, listed)
     rows = run.documents().orderBy("member").toLocalIterator()  # at most MAX_MEMBERS files
     publish.publish(((r.member, r.body) for r in rows), out, (mapping_path, text) if mapping_path else None)
     return audit.summary(run.audit())

@@ -7,6 +7,8 @@ file names go no further. Limits are checked before contents are read where the
 from __future__ import annotations
 
 import io
+import os
+import stat
 import struct
 import zipfile
 import zlib
@@ -95,6 +97,35 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("ord", k).withColumn("member", F.format_string("member-%05d.json", k))
 
 
+def linked_folders(root: str) -> list[str]:
+    """Folders below a local folder that are links, which aren't followed; a JSON member that isn't a plain file is refused."""
+    links = []
+    for base, folders, names in os.walk(root):
+        links += [os.path.join(base, n) for n in folders if os.path.islink(os.path.join(base, n))]
+        own = [os.path.join(base, n) for n in names if n.endswith(".json")] + [n for n in links if n.endswith(".json")]
+        if not all(stat.S_ISREG(os.lstat(n).st_mode) for n in own):
+            raise CollectionError("directory contains a non-regular JSON member")
+    return links
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Length and time of change of the input, or of each JSON file in it, at most MAX_MEMBERS + 1 of them; contents aren't read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, out = fs.listFiles(where, True), {}
+    while files.hasNext() and len(out) <= MAX_MEMBERS:
+        f = files.next()
+        if f.getPath().getName().endswith(".json") or fs.getFileStatus(where).isFile():
+            out[f.getPath().toString()] = (f.getLen(), f.getModificationTime())
+    return out
+
+
+def check_unchanged(spark: SparkSession, path: str, before: dict[str, tuple[int, int]]) -> None:
+    """Members are read more than once in a run, so one that changes meanwhile is refused."""
+    if listing(spark, path) != before:
+        raise CollectionError("input changed during the run")
+
+
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """(member, ord, name, raw) of a directory, a ZIP archive or a JSON file."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -104,6 +135,8 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
         raise CollectionError("input does not exist")
     if fs.getFileStatus(where).isDirectory():
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+        for link in linked_folders(where.toUri().getPath()) if fs.getScheme() == "file" else []:
+            files = files.where(~F.regexp_replace("path", r"\Afile:/+", "/").startswith(f"{link}/"))
         sizes = files.select("length").agg(F.count("*").alias("n"), F.max("length").alias("most"), F.sum("length").alias("total")).first()
         if not sizes.n:
             raise CollectionError("no JSON members")

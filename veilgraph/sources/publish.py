@@ -64,14 +64,16 @@ def remove(path: str) -> None:
 
 
 def rename_new(staged: str, out: str) -> None:
-    """Move without replacing."""
-    if os.path.lexists(out):
-        raise PublishError("destination exists")
-    if os.path.isdir(staged):
-        os.rename(staged, out)
-    else:
-        os.link(staged, out)
-        os.remove(staged)
+    """Move without replacing: a link, or an empty folder that only a folder can be moved onto, claims the name; both fail if it is taken."""
+    try:
+        if os.path.isdir(staged):
+            os.mkdir(out, 0o700)
+            os.rename(staged, out)
+        else:
+            os.link(staged, out)
+            os.remove(staged)
+    except FileExistsError as e:
+        raise PublishError("destination exists") from e
 
 
 def publish(members: Iterable[tuple[str, str]], out: str, mapping: tuple[str, str] | None) -> None:
