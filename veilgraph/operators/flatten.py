@@ -35,29 +35,35 @@ def _text(value: Any) -> str | None:
     return value if isinstance(value, str) and not isinstance(value, jsontext.Number) else None
 
 
+def _rows(member: str, doc: dict) -> Iterator[tuple]:
+    """A document's rows; one that says why, where an item is no object."""
+    kind, count, items = doc["meta"]["type"], doc["meta"].get("count"), len(doc["data"])
+    declared = None if count is None else f"{jsontext.kind(count)}:{count}"
+    yield member, META, 0, "meta", kind, declared, items, None, None, None, None, jsontext.dumps(doc["meta"])
+    for k, item in enumerate(doc["data"]):
+        if not isinstance(item, dict):
+            yield member, REFUSED, k, None, kind, None, 0, None, None, None, f"data item {k} is not an object", "null"
+            return
+        own = item.get("Properties")
+        own = own if isinstance(own, dict) else {}
+        yield member, DATA, k, None, kind, None, 0, _text(item.get("ObjectIdentifier")), _text(own.get("wkguid")), _text(own.get("templatename")), _text(own.get("name")), jsontext.dumps(item)
+    for k, (key, v) in enumerate((k, v) for k, v in doc.items() if k not in ("meta", "data")):
+        yield member, REST, k, key, kind, None, 0, None, None, None, None, jsontext.dumps(v)
+
+
 def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.split()[0] for f in OBJECTS.split(", ")]
+    rows: list[tuple] = []
     for batch in batches:
         for member, raw in zip(batch.member, batch.raw):
             doc = document(raw)
-            if doc is None:
-                continue
-            kind, count, items = doc["meta"]["type"], doc["meta"].get("count"), len(doc["data"])
-            declared = None if count is None else f"{jsontext.kind(count)}:{count}"
-            rows = [(member, META, 0, "meta", kind, declared, items, None, None, None, None, jsontext.dumps(doc["meta"]))]
-            for k, item in enumerate(doc["data"]):
-                if not isinstance(item, dict):
-                    rows = [(member, REFUSED, k, None, kind, None, 0, None, None, None, f"data item {k} is not an object", "null")]
-                    break
-                own = item.get("Properties")
-                own = own if isinstance(own, dict) else {}
-                rows.append((member, DATA, k, None, kind, None, 0, _text(item.get("ObjectIdentifier")), _text(own.get("wkguid")), _text(own.get("templatename")), _text(own.get("name")), jsontext.dumps(item)))
+            for row in _rows(member, doc) if doc is not None else ():
+                rows.append(row)
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
-            extra = [] if rows and rows[0][1] == REFUSED else [(k, v) for k, v in doc.items() if k not in ("meta", "data")]
-            rows += [(member, REST, k, key, kind, None, 0, None, None, None, None, jsontext.dumps(v)) for k, (key, v) in enumerate(extra)]
-            yield pd.DataFrame(rows, columns=names)
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def objects(members: DataFrame) -> DataFrame:

@@ -203,14 +203,19 @@ def check_reuse(registry_: DataFrame, saved: dict) -> None:
         raise MappingError("sids: pseudonym collision with a reverse-only alias")
 
 
-def check_hierarchy(registry_: DataFrame) -> None:
-    """A SID below a domain has as many arcs as its pseudonym, which stands below the pseudonym of the SID above; a damaged mapping may say otherwise."""
+def hierarchy_faults(registry_: DataFrame) -> DataFrame:
+    """SIDs below a domain that have more or fewer arcs than their pseudonym, or whose pseudonym stands elsewhere than below that of the SID above."""
     own = registry_.where("category = 'sids'").select("norm", "pseudonym_norm")
     above = lambda c: F.regexp_replace(c, r"-[0-9]+\z", "")
     arcs = lambda c: F.size(F.split(c, "-"))
     below = own.where(F.col("norm").rlike(r"\As-1-5-21(?:-[0-9]+){4,}\z")).withColumn("parent", above("norm"))
     got = below.join(own.select(F.col("norm").alias("parent"), F.col("pseudonym_norm").alias("above")), "parent", "left")
-    if not got.where((arcs("norm") != arcs("pseudonym_norm")) | (F.col("above") != above("pseudonym_norm"))).isEmpty():
+    return got.where((arcs("norm") != arcs("pseudonym_norm")) | (F.col("above") != above("pseudonym_norm"))).select("norm", "pseudonym_norm")
+
+
+def check_hierarchy(registry_: DataFrame) -> None:
+    """A damaged mapping is refused."""
+    if not hierarchy_faults(registry_).isEmpty():
         raise MappingError("sids: inconsistent SID hierarchy")
 
 
