@@ -80,14 +80,18 @@ class Run:
     def _walked(self) -> DataFrame:
         return flatten.leaves(self.contexts, self.known, self.salt, self.keys)
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return frozen(decide.resolve(self.leaves, self.config, self.rules), "resolved")
+
     @cached_property
     def evidence(self) -> decide.Evidence:
-        got = decide.gather(self.contexts, decide.resolve(self.leaves, self.config, self.rules), self.config)
+        got = decide.gather(self.contexts, self.resolved, self.config)
         return decide.Evidence(frozen(got.rids, "rids"), frozen(got.templates, "templates"))
 
     @cached_property
     def decided(self) -> DataFrame:
-        return frozen(decide.decide(decide.resolve(self.leaves, self.config, self.rules), self.evidence), "decided")
+        return frozen(decide.decide(self.resolved, self.evidence), "decided")
 
     @cached_property
     def numbers(self) -> DataFrame:
