@@ -22,7 +22,7 @@ ODD, SPECIAL = re.compile(r"[^\t-\r\x20-\x7e\x80-ɏ]"), "<|"
 PUNCT = r"(?:[^\s\w\xb2\xb3\xb9\xbc-\xbe]|_)+"
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|" + PUNCT)
 #: Words of each of two generations that a worker remembers: a full one becomes the old one, so memory stays bounded and frequent words stay in.
-MEMORY = 450_000
+MEMORY = 350_000
 #: Punctuation that often ends a word; such words are looked up without it.
 ENDS = ".,;:!?"
 WORD = partial(array, "I" if sys.byteorder == "little" and array("I").itemsize == 4 else "unsupported machine")
