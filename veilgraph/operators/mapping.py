@@ -1,7 +1,8 @@
 """Values to replacements, and the mapping table of identities that they use.
 
-A replacement is a pure function of salt and value, so distinct values are replaced where they are, without an allocator;
-a reused mapping, which overrides it, is looked up first. The mapping table is what reversal and verification read.
+A replacement is a function of salt and value, so distinct values are replaced where they are, without an allocator; a reused
+mapping, which overrides it, is looked up first. Only the last arcs of SIDs are short enough (32 bits) to meet: of those that do,
+all but one move on (``settled``). The mapping table is what reversal and verification read.
 """
 
 from __future__ import annotations
@@ -106,6 +107,62 @@ def replacements(values: DataFrame, salt: str, owned: dict[tuple[str, str], str]
     return values.select("form", "token", "arg", "keep").mapInPandas(run, REPLACED)
 
 
+def moved_sids(replaced: DataFrame, owned: dict[tuple[str, str], str]) -> dict[tuple[str, str], str]:
+    """New pseudonyms for SIDs below a domain that share one, of those nearest to the domain; empty if none do.
+
+    One of a reused mapping stays, then one whose last arc is kept, then the least; the others take the next arcs that are free. Rows of ``owned`` never move.
+    The driver holds them: about n * n / 2**33 of a domain's n SIDs.
+    """
+    spark = replaced.sparkSession
+    found = replaced.select(F.explode("identities").alias("i")).where("i.category = 'sids'").select("i.norm", "i.pseudonym", "i.pseudonym_norm")
+    saved = [(n, p, pseudonyms.normalize("sids", p)) for (c, n), p in owned.items() if c == "sids"]
+    if saved:
+        found = found.union(spark.createDataFrame(saved, found.schema))
+    found = found.groupBy("pseudonym_norm", "norm").agg(F.min("pseudonym").alias("pseudonym"))
+    arcs = F.size(F.split("pseudonym_norm", "-"))
+    shared = found.where(arcs > 7).groupBy("pseudonym_norm").agg(arcs.alias("arcs"), F.collect_list(F.struct("norm", "pseudonym")).alias("own")).where(F.size("own") > 1).collect()
+    nearest, last, moving = min((r.arcs for r in shared), default=0), lambda v: v.rpartition("-")[2], []
+    for r in sorted((r for r in shared if r.arcs == nearest), key=lambda r: r.pseudonym_norm):
+        order = sorted((("sids", x.norm) not in owned, last(x.norm) != last(x.pseudonym), x.norm, x.pseudonym) for x in r.own)
+        moving += [(norm, fake) for new, changed, norm, fake in order[1:] if new and changed]
+    done: dict[tuple[str, str], str] = {}
+    given: set[str] = set()
+    while moving:
+        tries = {}
+        for norm, fake in moving:
+            home, _, at = fake.rpartition("-")
+            nexts = [at := pseudonyms.next_arc(at) for _ in range(16)]
+            tries[norm] = [f"{home}-{a}" for a in nexts]
+        asked = spark.createDataFrame([(p.casefold(),) for t in tries.values() for p in t], "pseudonym_norm string").distinct()
+        taken = given | {r.pseudonym_norm for r in found.join(F.broadcast(asked), "pseudonym_norm", "left_semi").select("pseudonym_norm").collect()}
+        later = []
+        for norm, own in tries.items():
+            free = next((p for p in own if p.casefold() not in taken and last(p) != last(norm)), None)
+            if free is None:
+                later.append((norm, own[-1]))
+                continue
+            done["sids", norm] = free
+            given.add(free.casefold())
+            taken.add(free.casefold())
+        moving = later
+    return done
+
+
+def settled(values: DataFrame, salt: str, owned: dict[tuple[str, str], str], freeze) -> DataFrame:
+    """``replacements`` in which no two SIDs below a domain share a pseudonym, whatever the order of rows. freeze: writes a table that is read again.
+
+    SIDs nearest to the domain come first, as those below them move along; values that name a moved one are replaced again, the others stay as they are.
+    """
+    own, key = freeze(replacements(values, salt, owned), "values"), ("form", "token", "arg", "keep")
+    while moved := moved_sids(own, owned):
+        owned = owned | moved
+        sids = F.broadcast(values.sparkSession.createDataFrame([(n,) for _, n in moved], "norm string"))
+        again = own.select(*key, F.explode("identities").alias("i")).where("i.category = 'sids'").withColumn("norm", F.col("i.norm")).join(sids, "norm", "left_semi").select(*key).distinct()
+        rest = own.alias("a").join(again.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "left_anti")
+        own = freeze(rest.unionByName(replacements(again, salt, owned)), "values")
+    return own
+
+
 def key_identities(leaves: DataFrame, salt: str, owned: dict[str, str] | None = None) -> DataFrame:
     """Identities of renamed keys."""
     keys = leaves.where("kind = 'key'").select(F.lit("opaque").alias("form"), "token", F.lit(None).cast("string").alias("arg"), F.lit(False).alias("keep")).distinct()

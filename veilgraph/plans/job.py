@@ -99,7 +99,7 @@ class Run:
 
     @cached_property
     def values(self) -> DataFrame:
-        return frozen(mapping.replacements(mapping.distinct_values(self.decided), self.salt, self.owned), "values")
+        return mapping.settled(mapping.distinct_values(self.decided), self.salt, self.owned, frozen)
 
     @cached_property
     def registry(self) -> DataFrame:
