@@ -52,6 +52,11 @@ def test_anonymize_graph(spark, tables):
     assert len(sids) == sids.nunique() == len(pd.read_parquet(tables / "customer.parquet")) + len(pd.read_parquet(tables / "supplier.parquet")) + 25
 
 
+@pytest.mark.parametrize("name", ["edge_preservation"])
+def test_query_equals_sql_where_arcs_meet(spark, tables, name):
+    assert rows(entry.queries()[name](spark, f"file://{tables}").toPandas()) == sql(tables, name)
+
+
 def settled(spark, sids, owned=None):
     values = spark.createDataFrame([("sid", s, None, False) for s in sids], "form string, token string, arg string, keep boolean")
     got = mapping.settled(values, SALT, owned or {}, job.frozen)

@@ -281,7 +281,7 @@ def revenue_by_pseudonym(spark, sf_dir):
 @query("SELECT c_nationkey, count(*) AS edges, count(DISTINCT o_custkey) AS sources FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey")
 def edge_preservation(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.concat_ws("-", adapter.domain_sid(F.col("c_nationkey")), (F.col("c_custkey") + 1100).cast("string")).alias("token"))
-    done = mapping.replacements(_values(c, "sid", F.col("token")), SALT).select("token", "output")
+    done = mapping.settled(_values(c, "sid", F.col("token")), SALT, {}, job.frozen).select("token", "output")
     parents = mapping.replacements(_values(c, "sid", adapter.domain_sid(F.col("c_nationkey"))), SALT).select(F.col("token").alias("domain"), F.col("output").alias("parent"))
     nodes = c.join(done, "token").select("c_custkey", "output", F.regexp_extract("output", r"^(S-1-5-21-\d+-\d+-\d+)", 1).alias("parent"))
     edges = table(spark, sf_dir, "orders").select("o_custkey").join(nodes, F.col("o_custkey") == F.col("c_custkey")).groupBy("parent").agg(F.count("*").alias("edges"), F.count_distinct("output").alias("sources"))
