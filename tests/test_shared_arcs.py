@@ -52,7 +52,7 @@ def test_anonymize_graph(spark, tables):
     assert len(sids) == sids.nunique() == len(pd.read_parquet(tables / "customer.parquet")) + len(pd.read_parquet(tables / "supplier.parquet")) + 25
 
 
-@pytest.mark.parametrize("name", ["anonymize_published", "edge_preservation", "verify_each_code"])
+@pytest.mark.parametrize("name", ["anonymize_published", "edge_preservation", "verify_each_code", "verify_tampered", "verify_full_outer"])
 def test_query_equals_sql_where_arcs_meet(spark, tables, name):
     assert rows(entry.queries()[name](spark, f"file://{tables}").toPandas()) == sql(tables, name)
 
