@@ -87,3 +87,12 @@ def test_a_reused_mapping_stays_and_taken_arcs_are_passed_over(spark):
 
 def test_arcs_after_the_last_begin_anew():
     assert pseudonyms.next_arc(str((1 << 32) - 1)) == str(pseudonyms.FIRST_ARC) and pseudonyms.next_arc("1000000") == "1000001"
+
+
+@pytest.mark.parametrize("name", ["verify_each_code"])
+def test_source_and_output_are_compared_once(spark, tables, monkeypatch, name):
+    """The joined table is written, not worked out anew by each gate that reads it."""
+    tags, plain = [], job.frozen
+    monkeypatch.setattr(job, "frozen", lambda df, tag: tags.append(tag) or plain(df, tag))
+    entry.queries()[name](spark, f"file://{tables}")
+    assert tags.count("compared") == 1

@@ -333,7 +333,7 @@ def verify_each_code(spark, sf_dir):
     lost = run.leaves.join(number.withColumnRenamed("k", "_k"), (run.leaves.member == number.member) & (key == F.col("_i"))).where((F.col("canonical") == name) & (F.col("_k") == 7)).select(F.lower("token").alias("norm"), F.lit("accounts").alias("category"))
     registry = run.registry.join(lost.distinct(), ["norm", "category"], "left_anti")
     records = run.records.select("member", "record", "token", "output", *verify.JUDGED)
-    found = verify.findings(run.leaves, output, run.decided, run.numbers, registry, records, SALT)
+    found = verify.findings(run.leaves, output, run.decided, run.numbers, registry, records, SALT, job.frozen)
     one_each = found.where(~((F.col("code") == "registry-mapping-missing") & ~F.col("path").endswith("samaccountname")))
     return one_each.groupBy("code").agg(F.count("*").alias("n"))
 
