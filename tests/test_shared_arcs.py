@@ -89,7 +89,7 @@ def test_arcs_after_the_last_begin_anew():
     assert pseudonyms.next_arc(str((1 << 32) - 1)) == str(pseudonyms.FIRST_ARC) and pseudonyms.next_arc("1000000") == "1000001"
 
 
-@pytest.mark.parametrize("name", ["verify_each_code"])
+@pytest.mark.parametrize("name", ["verify_each_code", "verify_tampered"])
 def test_source_and_output_are_compared_once(spark, tables, monkeypatch, name):
     """The joined table is written, not worked out anew by each gate that reads it."""
     tags, plain = [], job.frozen

@@ -310,7 +310,7 @@ def verify_tampered(spark, sf_dir):
     changed = run.leaves.withColumn("kind", F.when(F.col("canonical") == "properties.enabled", "string").otherwise(F.col("kind")))
     outs = run.records.select("member", "record", F.col("output").alias("o")).unionByName(run.numbers.select("member", "record", F.col("out").alias("o")))
     output = changed.join(outs, ["member", "record"], "left").select("member", "record", "kind", F.coalesce("o", "token").alias("token"))
-    found = verify.findings(run.leaves, output, run.decided, run.numbers, run.registry, run.records.select("member", "record", "token", "output"), SALT)
+    found = verify.findings(run.leaves, output, run.decided, run.numbers, run.registry, run.records.select("member", "record", "token", "output"), SALT, job.frozen)
     return found.groupBy("code").agg(F.count("*").alias("n"))
 
 
