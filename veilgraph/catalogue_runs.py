@@ -271,8 +271,7 @@ def anonymize_published(spark, sf_dir):
     rows = adapter.members(spark, sf_dir).orderBy("member").toLocalIterator()
     publish.publish(((f"{r.member}.json", bytes(r.raw).decode()) for r in rows), source, None)
     told = job.anonymize(spark, source, out, at, salt=SALT)
-    saved = publish.load_mapping(at, tables.CATALOG_VERSION)
-    labels = [r for r in saved["categories"]["domains"] if r.startswith("corp")]
+    labels = [r for c, r, _ in publish.saved_rows(at, tables.CATALOG_VERSION) if c == "domains" and r.startswith("corp")]
     counts = {
         "objects": sum(told["object_classifications"].values()), "references": told["operations"]["map_reference"], "opaque values": told["operations"]["replace_opaque"], "undeclared numbers": told["audit_codes"]["undeclared-numeric-value"],
         "objects read back": flatten.objects(collection.read_members(spark, out)).where("part = 1").count(), "domains in the mapping": len(labels),

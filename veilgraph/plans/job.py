@@ -183,10 +183,10 @@ def anonymize(spark: SparkSession, source: str, out: str, mapping_path: str | No
         raise LeakError(f"verification failed: {[tuple(r) for r in verify.by_gate(found).limit(50).collect()]}", found)
     if mapping.fingerprint(run.registry) != before:
         raise LeakError("verification failed: registry-state-changed")
-    text = publish.mapping_text(run.registry, salt, collection.source_hash(spark, source, run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
+    parts = publish.mapping_parts(run.registry, salt, collection.source_hash(spark, source, run.members), policy(config), aliases=(saved or {}).get("legacy_reverse_aliases")) if mapping_path else None
     collection.check_unchanged(spark, source, listed)
-    rows = run.documents().orderBy("member").toLocalIterator()  # at most MAX_MEMBERS files
-    publish.publish(((r.member, r.body) for r in rows), out, (mapping_path, text) if mapping_path else None)
+    rows = collection.in_turn(run.documents(), "member", run.contexts.where("part = 0").count())  # at most MAX_MEMBERS files
+    publish.publish(((r.member, r.body) for r in rows), out, (mapping_path, parts) if mapping_path else None)
     return audit.summary(run.audit())
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 MAX_MEMBERS, MAX_MEMBER, MAX_TOTAL = 10_000, 512 << 20, 2 << 30
 SIGNATURES = (b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x07\x08")
+#: Members that the driver holds at a time.
+FEW = 4
 MEMBERS = "name string, ord long, raw binary, refused string"
 
 
@@ -154,12 +156,18 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     return last.join(F.broadcast(numbered(last.select("name", "ord"), "ord").select("name", "member")), "name").select("member", "ord", "name", "raw")
 
 
+def in_turn(rows: DataFrame, by: str, n: int) -> Iterator:
+    """n members or texts of members in order, of which the driver holds about FEW at a time: partitions by size alone are large where texts compress well."""
+    parts = max(1, min(n // FEW, 1000))
+    return rows.repartitionByRange(parts, by).sortWithinPartitions(by).toLocalIterator()
+
+
 def input_hash(members: DataFrame) -> str:
     """SHA-256 over the members' bytes in order."""
     import hashlib
 
     own = hashlib.sha256()
-    for r in members.orderBy("ord").select("raw").toLocalIterator():
+    for r in in_turn(members.select("ord", "raw"), "ord", members.count()):
         own.update(bytes(r.raw))
     return own.hexdigest()
 

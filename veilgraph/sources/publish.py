@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import secrets
 import shutil
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -34,9 +35,9 @@ def guard(source: str, out: str, mapping: str | None) -> None:
         raise PublishError("destination lies inside the input or the output")
 
 
-def _private(path: str, data: bytes) -> None:
+def _private(path: str, data: bytes | Iterable[str]) -> None:
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
-        f.write(data)
+        f.writelines([data] if isinstance(data, bytes) else (part.encode() for part in data))
 
 
 def stage(members: Iterable[tuple[str, str]], out: str) -> str:
@@ -76,14 +77,18 @@ def rename_new(staged: str, out: str) -> None:
         raise PublishError("destination exists") from e
 
 
-def publish(members: Iterable[tuple[str, str]], out: str, mapping: tuple[str, str] | None) -> None:
-    """mapping: (path, text). The mapping goes first; if the collection then fails, it is taken back."""
+def publish(members: Iterable[tuple[str, str]], out: str, mapping: tuple[str, Iterable[str]] | None) -> None:
+    """mapping: (path, parts of its text). The mapping goes first; if the collection then fails, it is taken back."""
     staged = stage(members, out)
     try:
         if mapping:
             side = f"{mapping[0]}.{secrets.token_hex(8)}.staging"
-            _private(side, mapping[1].encode())
-            rename_new(side, mapping[0])
+            try:
+                _private(side, mapping[1])
+                rename_new(side, mapping[0])
+            except BaseException:
+                remove(side)
+                raise
         try:
             rename_new(staged, out)
         except BaseException:
@@ -94,23 +99,39 @@ def publish(members: Iterable[tuple[str, str]], out: str, mapping: tuple[str, st
         remove(staged)
 
 
-def mapping_text(registry: DataFrame, salt: str, input_hash: str, policy: dict | None = None, created: str | None = None, aliases: dict[str, str] | None = None) -> str:
-    """The mapping as a file: sorted keys, two spaces, ASCII. aliases: reverse-only SIDs carried on from a reused mapping."""
-    categories: dict[str, dict[str, str]] = {c: {} for c in CATEGORIES}
-    for r in registry.select("category", "real", "pseudonym").toLocalIterator():
-        categories[r.category][r.real] = r.pseudonym
+def mapping_parts(registry: DataFrame, salt: str, input_hash: str, policy: dict | None = None, created: str | None = None, aliases: dict[str, str] | None = None) -> Iterator[str]:
+    """The mapping as a file, in parts: sorted keys, two spaces, ASCII. Spark sorts the identities, so the driver holds a partition of them at a time. aliases: reverse-only
+    SIDs carried on from a reused mapping."""
     old = {"sids": aliases} if aliases else {}
-    own = {"categories": categories, "created": created or datetime.now(timezone.utc).isoformat(timespec="seconds"), "format_version": jsontext.Number(2), "input_hash": input_hash, "legacy_reverse_aliases": old, "salt": salt}
+    own = {"created": created or datetime.now(timezone.utc).isoformat(timespec="seconds"), "format_version": jsontext.Number(2), "input_hash": input_hash, "legacy_reverse_aliases": old, "salt": salt}
     if policy is not None:
         own["policy"] = {k: jsontext.Number(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in policy.items()}
-    return jsontext.dumps(own, sort=True, indent=2)
+    yield '{\n  "categories": {'
+    rows = registry.select("category", "real", "pseudonym").orderBy("category", "real").toLocalIterator()
+    row = next(rows, None)
+    for k, c in enumerate(sorted(CATEGORIES)):
+        yield f"{',' if k else ''}\n    {json.dumps(c)}: {{"
+        n = 0
+        while row is not None and row.category == c:
+            yield f"{',' if n else ''}\n      {json.dumps(row.real)}: {json.dumps(row.pseudonym)}"
+            row, n = next(rows, None), n + 1
+        yield "\n    }" if n else "}"
+    if row is not None:
+        raise PublishError(f"unknown category {row.category}")
+    yield "\n  },"
+    yield jsontext.dumps(own, sort=True, indent=2)[1:]  # "categories" sorts before all of them
+
+
+def mapping_text(registry: DataFrame, salt: str, input_hash: str, policy: dict | None = None, created: str | None = None, aliases: dict[str, str] | None = None) -> str:
+    """``mapping_parts`` as one text."""
+    return "".join(mapping_parts(registry, salt, input_hash, policy, created, aliases))
 
 
 def _buckets(own: dict, name: str) -> dict[str, dict[str, str]]:
-    got = own.get(name) or {}
+    got = own.pop(name, None) or {}
     if unknown := sorted(set(got) - set(CATEGORIES)):
         raise PublishError(f"unknown category {unknown[0]}")
-    return {c: {a: b for a, b in got.get(c, {}).items() if isinstance(b, str)} for c in CATEGORIES}
+    return {c: {a: b for a, b in got.pop(c, {}).items() if isinstance(b, str)} for c in CATEGORIES}
 
 
 def upgrade_sids(sids: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
@@ -150,7 +171,7 @@ def check_aliases(aliases: dict[str, dict[str, str]], sids: dict[str, str]) -> N
 
     if any(own for c, own in aliases.items() if c != "sids"):
         raise PublishError("reverse-only aliases are for SIDs alone")
-    taken, seen = {normalize("sids", p) for p in sids.values()}, {}
+    taken, seen = {normalize("sids", p) for p in sids.values()} if aliases.get("sids") else set(), {}
     for fake, real in aliases.get("sids", {}).items():
         if arcs(fake) != 7 or arcs(real) <= 7:
             raise PublishError("reverse-only alias has an invalid SID hierarchy")
@@ -159,17 +180,40 @@ def check_aliases(aliases: dict[str, dict[str, str]], sids: dict[str, str]) -> N
             raise PublishError("reverse-only alias has ambiguous owners")
 
 
-def load_mapping(path: str, catalog_version: int | None = None) -> dict:
-    """A saved mapping, format 1 upgraded. With catalog_version, one made under another version, or under none, is refused."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        own = json.load(f)
+def _check_head(own: dict, catalog_version: int | None) -> int:
+    """The format of a saved mapping; one without a salt, of another format, or made under another catalog version is refused."""
     if not isinstance(own.get("salt"), str):
         raise PublishError("mapping has no salt")
     version = own.get("format_version", 1)
     if version not in (1, 2):
         raise PublishError("unsupported mapping format")
+    if catalog_version is not None and (own.get("policy") or {}).get("catalog_version") != catalog_version:
+        raise PublishError("mapping was made under another catalog version")
+    return version
+
+
+def saved_rows(path: str, catalog_version: int | None = None) -> Iterator[tuple[str, str, str]]:
+    """(category, real, pseudonym) of a whole file as ``mapping_parts`` writes it, an item a line, which isn't held; its other keys are checked after the last row."""
+    with open(path, encoding="ascii") as f:
+        if f.readline() != "{\n" or f.readline() != '  "categories": {\n':
+            raise PublishError("mapping isn't written an item a line")
+        category = None
+        for line in f:
+            if line.startswith("      "):
+                ((real, fake),) = json.loads(f"{{{line.rstrip().removesuffix(',')}}}").items()
+                yield category, real, fake
+            elif line.startswith('    "'):
+                category = json.loads(line[: line.rindex('": {') + 1])
+            elif line == "  },\n":
+                break
+        _check_head(json.loads("{" + f.read()), catalog_version)
+
+
+def load_mapping(path: str, catalog_version: int | None = None) -> dict:
+    """A saved mapping, format 1 upgraded. With catalog_version, one made under another version, or under none, is refused."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    version = _check_head(own, None)
     own["categories"], aliases = _buckets(own, "categories"), _buckets(own, "legacy_reverse_aliases")
     if version == 1:
         own["categories"]["sids"], found = upgrade_sids(own["categories"]["sids"])
@@ -178,6 +222,5 @@ def load_mapping(path: str, catalog_version: int | None = None) -> dict:
                 raise PublishError("reverse-only alias has ambiguous owners")
     check_aliases(aliases, own["categories"]["sids"])
     own["legacy_reverse_aliases"] = aliases["sids"]
-    if catalog_version is not None and (own.get("policy") or {}).get("catalog_version") != catalog_version:
-        raise PublishError("mapping was made under another catalog version")
+    _check_head(own, catalog_version)
     return own
