@@ -5,6 +5,8 @@ import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 
@@ -541,3 +543,30 @@ def test_a_worker_holds_one_memory():
     common.release()
     assert common.hold("a", list) == []
     common.release()
+
+
+def test_workers_of_the_pipeline_do_without_pandas():
+    load = "import sys; from veilgraph.llm import language, packing, pii, simhash, toxicity; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", load], cwd=common.__file__.rsplit("/veilgraph/", 1)[0]).returncode == 0
+
+
+def test_a_scorer_holds_the_models_own_strings():
+    model = toxicity.Model({"".join(g): 0.5 for g in (" vi", "vil", "vile")} | {f"{k:05}": 0.0 for k in range(100)}, -1.0)  # more than a word has
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("vile vilest") == 1 / (1 + math.exp(-0.5)) and scorer["other"] is None
+    assert {id(g) for own in scorer.values() for g in own or ()} == {id(g) for g, w in model.weights.items() if w}
+
+
+def test_fitting_starts_no_second_daemon(spark, monkeypatch):
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: made.append(create(*a, **b)) or made[-1])
+    model = toxicity.fit(common.table(spark, SF, "documents"), common.table(spark, SF, "labels"))
+    plans = [d._jdf.queryExecution().analyzed().toString() for d in made]
+    assert model.weights and plans and all(p.startswith("LocalRelation") for p in plans)
+
+
+def test_redacted_columns(spark, none):
+    texts = ["mail a.b@c.example.org", None, "", "none here", "10.0.0.1 and 日本語"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(1).orderBy("k")
+    assert [r.t for r in rows.select("k", pii.redacted(F.col("text")).alias("t")).orderBy("k").collect()] == list(map(pii.redact, texts))
+    assert none.select(pii.redacted(F.col("text"))).count() == 0

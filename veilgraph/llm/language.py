@@ -17,7 +17,6 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -118,10 +117,10 @@ def keeps(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't rejected; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def decided(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def decided(texts: pa.Array) -> pa.Array:
         model = shared.value
-        return pd.Series([not rejected(model, *decide(model, ready(model), t)) for t in texts], dtype=bool)
+        return pa.array([not rejected(model, *decide(model, ready(model), t.as_py())) for t in texts], pa.bool_())
 
     return docs.where(decided(F.col("text").cast("string")))
 

@@ -14,8 +14,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,10 +155,17 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(text: Column) -> Column:
     """The column with personal data replaced."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
         release()
-        return texts.map(redact, na_action="ignore")
+        changed, new = [], []
+        for t in texts:
+            text = t.as_py()
+            got = redact(text)
+            changed.append(got is not text)
+            if changed[-1]:  # only these are held as Python strings
+                new.append(got)
+        return pc.replace_with_mask(texts, pa.array(changed, pa.bool_()), pa.array(new, pa.string()))
 
     return run(text)
 

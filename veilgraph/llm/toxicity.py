@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +49,15 @@ class Model:
 
 
 class Scorer(dict):
-    """word -> the model's n-grams in it (None: none)."""
+    """word -> the model's n-grams in it (None: none), as the model's own strings: copies would take most of the memory."""
 
     def __init__(self, model: Model):
-        self.model, self.has = model, model.weights.keys()
+        self.model, self.own = model, {g: g for g in model.weights}
 
     def __missing__(self, word: str):
         if len(self) >= WORDS:
             self.clear()
-        got = self[word] = tuple(grams(word) & self.has) or None
+        got = self[word] = tuple(filter(None, map(self.own.get, grams(word)))) or None
         return got
 
     def score(self, text: str | None) -> float:
@@ -150,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most
     n0 = len(ids) - n1
     if not n1 or not n0:
         return Model({}, 700.0 if n1 else -700.0)
-    chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], schema(doc_id=LONG, toxic=INT))
+    # an Arrow table becomes a local relation; a list would be an RDD, and executors would keep a second Python daemon for it
+    chosen = spark.createDataFrame(pa.table({"doc_id": pa.array([r.doc_id for r in ids], pa.int64()), "toxic": pa.array([r.toxic for r in ids], pa.int32())}))
     rows = materialize(sampled(docs, chosen).repartition(max(6, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id")), "labelled")
     counts = rows.select("text", "toxic").mapInArrow(_count, schema(gram=STRING, other=LONG, toxic=LONG))
     kept = ratios(counts, n0, n1, features, least_texts, least_z)
@@ -186,10 +186,10 @@ def keeps(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't predicted toxic; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         score = scorer(shared.value).score
-        return pd.Series([score(t) < CUT for t in texts], dtype=bool)
+        return pa.array([score(t.as_py()) < CUT for t in texts], pa.bool_())
 
     return docs.where(clean(F.col("text").cast("string")))
 
